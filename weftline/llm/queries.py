@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import canon, cutoffs, encode, packing, repetition, splits
+from weftline.llm import canon, cutoffs, encode, packing, repetition, splits, subjects
 from weftline.runtime import checkpoint, table
 
 
@@ -62,6 +62,23 @@ def p7_fill(spark: SparkSession, directory: str) -> DataFrame:
     return packing.fill(_packed(spark, directory), table(spark, directory, "container_sizes"))
 
 
+def _about(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, directory, "documents").select("doc_id", "text"), table(spark, directory, "subject_labels"), table(spark, directory, "subjects")
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return subjects.document_subjects(*_about(spark, directory))
+
+
+def p8_posteriors(spark: SparkSession, directory: str) -> DataFrame:
+    return subjects.subject_posteriors(*_about(spark, directory))
+
+
+def p8_makeup(spark: SparkSession, directory: str) -> DataFrame:
+    """The make-up of the corpus: documents by subject."""
+    return subjects.document_subjects(*_about(spark, directory)).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_cutoffs, p3_found, p3_shares, p4_found, p4_forms, p6_ids, p7_containers, p7_fill)
+    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_cutoffs, p3_found, p3_shares, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_posteriors, p8_makeup)
 }
