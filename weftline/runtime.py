@@ -72,3 +72,24 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total:
         .unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(plain, key, how))
         .drop(count)
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors unless their Python finds it already (PYTHONPATH or working directory of a local session)."""
+    import zipfile
+
+    import weftline
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(weftline.__file__)))
+    visible = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in visible or (context.master.startswith("local[") and os.getcwd() == root) or getattr(context, "_weftline_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="weftline-package-"), "weftline.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "weftline")):
+            for name in files:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    context.addPyFile(path)
+    context._weftline_shipped = True
