@@ -98,6 +98,9 @@ def tables() -> dict:
     return {"fold": fold, "check": check, "first": drop | gaps, "segment": re.compile(f".?[{python}{_SIGNS}ᅡ-ᅵᆨ-ᇂ]+", re.S)}
 
 
+#: The quick check's first step: ASCII and Devanagari without any sequence that may change.  All but such texts take the full check.
+_PLAIN = rf"[^ -~\x{{900}}-\x{{950}}\x{{955}}-\x{{957}}\x{{960}}-\x{{97f}}]|  |^ | $|[{''.join(sorted({x[0] for x in SEQUENCES}))}][{_SIGNS}]|[\x{{928}}\x{{930}}\x{{933}}]\x{{93c}}|\x{{94d}}\x{{93c}}"
+
 _JOINER = re.compile("([\u200c\u200d])")
 _SEQUENCE = re.compile("|".join(SEQUENCES))
 #: Stand-ins for joiners that stay while the others are dropped.
@@ -149,7 +152,7 @@ def canonical_form(text: Column) -> Column:
     vowel signs, raised and circled digits and punctuation do.  Idempotent; null
     stays null, and a text of blanks or invisible characters becomes empty.
     """
-    unstable = F.when(text.rlike(tables()["check"]), text)
+    unstable = F.when(text.rlike(_PLAIN), F.when(text.rlike(tables()["check"]), text))
     return F.coalesce(_canonical(unstable), text)
 
 
