@@ -1,8 +1,8 @@
 """Continuous periods and gaps of many overlapping intervals per entity.
 
-Starts and ends are sorted independently.  After the k-th end there is a gap
-exactly if the (k+1)-th start lies beyond it, so gaps are an equality join of
-ranks; the boundaries beside the gaps pair up to periods.  Ranks are counted in
+Starts and ends are ranked independently of each other.  After the k-th end there
+is a gap exactly if the (k+1)-th start lies beyond it, which shows in the ranks
+alone; the boundaries beside the gaps pair up to periods.  Ranks are counted in
 bounded chunks of time, so that one entity may hold any share of the rows.
 """
 
@@ -28,60 +28,71 @@ def valid_intervals(rows: DataFrame, keys: list[str], start: Column, end: Column
     return rows.select(*keys, to_ms(start).alias("s"), to_ms(end).alias("e")).where("s IS NOT NULL AND e IS NOT NULL AND e > s")
 
 
-def running(points: DataFrame, keys: list[str], at: str = "t", n: str = "n", chunk: int = CHUNK_MS) -> DataFrame:
-    """``points`` (keys, at, n) with ``upto``, the sum of n of the entity up to and including ``at``.
+def ranks(intervals: DataFrame, keys: list[str], chunk: int = CHUNK_MS) -> DataFrame:
+    """Every distinct boundary t of an entity with its ranks in the sorted starts and in the sorted ends.
 
-    The sum within a chunk and the sum of earlier chunks are added, so no task needs
-    to hold an entity.
+    (keys..., t, starts, ends, opens, closes, next_t): how many starts and how
+    many ends lie up to t, whether a period opens or closes there, and the next
+    boundary.  Boundaries are counted per ms before the first
+    shuffle; ranks within a chunk of time and totals of earlier chunks are added, so
+    that no task needs to hold an entity.
     """
-    chunked = points.withColumn("_chunk", F.floor(F.col(at) / chunk))
-    per_chunk = chunked.groupBy(*keys, "_chunk").agg(F.sum(n).alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per_chunk.withColumn("_before", F.coalesce(earlier, F.lit(0))).drop("_n")
-    within = F.sum(n).over(Window.partitionBy(*keys, "_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    return chunked.withColumn("_in", within).join(offsets, [*keys, "_chunk"]).withColumn("upto", F.col("_in") + F.col("_before")).drop("_chunk", "_in", "_before")
-
-
-def boundaries(intervals: DataFrame, keys: list[str], chunk: int = CHUNK_MS) -> tuple[DataFrame, DataFrame]:
-    """Distinct starts (keys, t, rank_before) and ends (keys, t, rank): how many starts lie before t, how many ends up to t."""
-    count = lambda c: intervals.groupBy(*keys, F.col(c).alias("t")).agg(F.count("*").alias("n"))
-    starts = running(count("s"), keys, chunk=chunk).select(*keys, "t", (F.col("upto") - F.col("n")).alias("rank"))
-    ends = running(count("e"), keys, chunk=chunk).select(*keys, "t", F.col("upto").alias("rank"))
-    return starts, ends
+    side = lambda c, a, b: F.struct(F.col(c).alias("t"), F.lit(a).alias("ns"), F.lit(b).alias("ne"))
+    points = (
+        intervals.select(*keys, F.explode(F.array(side("s", 1, 0), side("e", 0, 1))).alias("p"))
+        .select(*keys, F.col("p.t").alias("t"), F.floor(F.col("p.t") / chunk).alias("_chunk"), "p.ns", "p.ne")
+        .groupBy(*keys, "_chunk", "t")
+        .agg(F.sum("ns").alias("ns"), F.sum("ne").alias("ne"))
+    )
+    entity = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = entity.rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        points.groupBy(*keys, "_chunk")
+        .agg(F.sum("ns").alias("_s"), F.sum("ne").alias("_e"), F.min("t").alias("_first"))
+        .select(*keys, "_chunk", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_e").over(earlier), F.lit(0)).alias("_e0"), F.lead("_first").over(entity).alias("_next"))
+    )
+    within = Window.partitionBy(*keys, "_chunk").orderBy("t")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        points.select("*", F.sum("ns").over(upto).alias("_s1"), F.sum("ne").over(upto).alias("_e1"), F.lead("t").over(within).alias("_t1"))
+        .join(totals, [*keys, "_chunk"])
+        .select(*keys, "_chunk", "t", "ns", "ne", (F.col("_s0") + F.col("_s1")).alias("starts"), (F.col("_e0") + F.col("_e1")).alias("ends"), F.coalesce("_t1", "_next").alias("next_t"))
+        .withColumn("opens", F.col("starts") - F.col("ns") == F.col("ends") - F.col("ne"))
+        .withColumn("closes", F.col("starts") == F.col("ends"))
+    )
 
 
 def gaps(intervals: DataFrame, keys: list[str], chunk: int = CHUNK_MS) -> DataFrame:
     """(keys..., gap_start, gap_end): from the end of each period to the start of the next of the same entity.
 
+    Behind the k-th end lies a gap if the (k+1)-th start is later, that is, if just k
+    starts lie up to it; the next boundary is then that start.
+
     ``intervals`` has keys, s and e (s < e, no nulls; see valid_intervals).  Intervals
     that overlap, nest, repeat or touch are one period.  Entities with one period, and
-    empty tables, have no gaps; null keys form an entity of their own only if the
-    caller keeps them, and have no gaps.
+    empty tables, have no gaps.  Null keys belong to no entity.
     """
-    starts, ends = boundaries(intervals, keys, chunk)
-    return (
-        ends.withColumnRenamed("t", "gap_start")
-        .join(starts.withColumnRenamed("t", "gap_end"), [*keys, "rank"])
-        .where("gap_end > gap_start")
-        .select(*keys, "gap_start", "gap_end")
-    )
+    return ranks(intervals, keys, chunk).where("closes AND next_t IS NOT NULL").select(*keys, F.col("t").alias("gap_start"), F.col("next_t").alias("gap_end"))
 
 
 def periods(intervals: DataFrame, keys: list[str], chunk: int = CHUNK_MS) -> DataFrame:
     """(keys..., s, e): the continuous periods.
 
-    A start opens a period if as many ends lie before it as starts; an end closes one
-    if as many starts lie up to it as ends.  Openings and closings, numbered in time,
-    pair up.
+    A start opens a period if before it lie as many ends as starts; the end that
+    closes it is the first behind which they are as many again.  Null keys belong to
+    no entity, and empty tables have no periods.
     """
-    starts, ends = boundaries(intervals, keys, chunk)
-    gap = gaps(intervals, keys, chunk)
-    first = starts.where("rank = 0").select(*keys, F.col("t").alias("s"))
-    last = ends.groupBy(*keys).agg(F.max("t").alias("e"))
-    opened = first.unionByName(gap.select(*keys, F.col("gap_end").alias("s")))
-    closed = last.unionByName(gap.select(*keys, F.col("gap_start").alias("e")))
-    number = lambda df, c: running(df.select(*keys, F.col(c).alias("t"), F.lit(1).alias("n")), keys, chunk=chunk).select(*keys, F.col("t").alias(c), "upto")
-    return number(opened, "s").join(number(closed, "e"), [*keys, "upto"]).select(*keys, "s", "e")
+    edges = ranks(intervals, keys, chunk).where("opens OR closes")
+    opening = F.when(F.col("opens"), F.col("t"))
+    entity = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    before = edges.groupBy(*keys, "_chunk").agg(F.max(opening).alias("_o")).select(*keys, "_chunk", F.max("_o").over(entity).alias("_o0"))
+    return (
+        edges.withColumn("_o1", F.max(opening).over(within))
+        .where("closes")
+        .join(before, [*keys, "_chunk"])
+        .select(*keys, F.coalesce("_o1", "_o0").alias("s"), F.col("t").alias("e"))
+    )
 
 
 def speech_intervals(speakers: DataFrame, segments: DataFrame) -> DataFrame:
