@@ -29,8 +29,8 @@ MAX_SUBJECTS = 200
 SHARE = 0.125
 #: Smoothing count of a feature.
 ALPHA = 2.0
-#: Log odds that a feature must exceed to tell of a subject, and log odds that a sentence's features must make up for.
-COMMON, DOUBT = 1.5, 1.5
+#: A feature tells of a subject from this part of the way between the subject's base rate and SURE, in log odds; a sentence's features must make up for DOUBT.
+COMMON, SURE, DOUBT = 0.35, 0.85, 1.5
 #: How much less likely a subject is in a labelled document that doesn't name it (annotators err).
 UNNAMED = 0.15
 #: Weight of an even mix against the document's own mix of subjects.
@@ -80,10 +80,10 @@ class Batch:
         """Sum of the weights of each sentence's features."""
         return np.add.reduceat(weights[self.word] + weights[self.pair], self.begin, axis=0) if len(self.begin) else np.zeros((0, weights.shape[1]), weights.dtype)
 
-    def posteriors(self, weights: np.ndarray, prior: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    def posteriors(self, weights: np.ndarray, doubt: float, allowed: np.ndarray) -> np.ndarray:
         """Of each sentence over subjects and none, given its document's own mix.  ``allowed`` has the factor of each subject in each document."""
         logit = self.scores(weights) + np.log(allowed)[self.doc]
-        logit[:, -1] += DOUBT
+        logit[:, -1] += doubt
         post = _softmax(logit)
         count = np.bincount(self.doc, minlength=self.docs)[:, None]
         mix = np.stack([np.bincount(self.doc, post[:, k], self.docs) for k in range(post.shape[1])], 1)
@@ -108,8 +108,10 @@ def complement_weights(counts: np.ndarray) -> np.ndarray:
     mine = counts[:, :-1]
     rest = counts.sum(1, keepdims=True) - mine
     base = (mine.sum(0) + 1) / (counts.sum() + counts.shape[1])
-    w = np.log((mine + ALPHA * base) / (rest + ALPHA * (1 - base))) - np.log(base / (1 - base))
-    return np.concatenate([np.maximum(w - COMMON, 0), np.full((len(w), 1), 0.0)], 1).astype(np.float32)
+    odds = np.log(base / (1 - base))
+    w = np.log((mine + ALPHA * base) / (rest + ALPHA * (1 - base))) - odds
+    common = COMMON * np.maximum(np.log(SURE / (1 - SURE)) - odds, 0)
+    return np.concatenate([np.maximum(w - common, 0), np.full((len(w), 1), 0.0)], 1).astype(np.float32)
 
 
 def _collect(parts: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +141,8 @@ def _counts(docs: DataFrame, classes: int, model: object | None) -> tuple[np.nda
                 named[:, -1] &= named.sum(1) == 1
                 post = (named / named.sum(1, keepdims=True))[batch.doc]
             else:
-                weights, prior = shared.value
-                post = batch.posteriors(weights, prior, allowed)
+                weights, doubt = shared.value
+                post = batch.posteriors(weights, doubt, allowed)
             length = np.diff(np.append(batch.begin, len(batch.word)))
             by_word = np.repeat(post, length, axis=0)
             for k in range(classes):
@@ -219,14 +221,14 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     if not sizes.sum():
         return documents.sparkSession.createDataFrame([], schema), names
     for _ in range(rounds):
-        counts, sizes = _counts(docs, classes, (complement_weights(counts), _prior(sizes)))
-    shared = docs.sparkSession.sparkContext.broadcast((complement_weights(counts), _prior(sizes)))
+        counts, sizes = _counts(docs, classes, (complement_weights(counts), DOUBT))
+    shared = docs.sparkSession.sparkContext.broadcast((complement_weights(counts), DOUBT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, prior = shared.value
+        weights, doubt = shared.value
         for b in batches:
             batch = Batch.of(b.column("x"))
-            post = batch.posteriors(weights, prior, np.ones((batch.docs, classes)))
+            post = batch.posteriors(weights, doubt, np.ones((batch.docs, classes)))
             n = np.bincount(batch.doc, minlength=batch.docs)
             best = post.argmax(1) if len(post) else np.zeros(0, np.int64)
             shares = np.stack([np.bincount(batch.doc, best == k, batch.docs) for k in range(classes - 1)], 1) / np.maximum(1, n)[:, None]
@@ -236,10 +238,6 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     return docs.mapInArrow(run, schema), names
 
 
-def _prior(sizes: np.ndarray) -> np.ndarray:
-    return (sizes + 1) / (sizes.sum() + len(sizes))
-
-
 def _odds(share: np.ndarray | Column, n: np.ndarray | Column, log=np.log):
     """Log of the share against SHARE, with half a sentence added."""
     return log((share * n + 0.5) / (SHARE * n + 0.5 - 1e-9))
