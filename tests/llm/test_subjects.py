@@ -40,7 +40,9 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(spark):
     docs, truth = corpus(150, 3)
-    docs += [(1000, None), (1001, ""), (1002, " \n "), (1003, "..."), (1004, "The court verdict. " * 9000), (5, docs[5][1])]
+    rng = random.Random(4)
+    long = " ".join(rng.choice(SHARED).format(rng.choice(TERMS["law"])) + "." for _ in range(9000))
+    docs += [(1000, None), (1001, ""), (1002, " \n "), (1003, "..."), (1004, long), (5, docs[5][1])]
     labels = [(i, s, "a") for i in range(60) for s in (truth[i] or {None})] * 2 + [(None, "law", "b"), (7777, "law", "b"), (3, "unknown", "b")]
     S = spark.createDataFrame([(s, "") for s in TERMS] + [(None, "x")], "subject string, description string")
     D, L = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string, annotator string")

@@ -31,6 +31,8 @@ SHARE = 0.125
 ALPHA = 2.0
 #: A feature tells of a subject from this part of the way between the subject's base rate and SURE, in log odds; a sentence's features must make up for DOUBT.
 COMMON, SURE, DOUBT = 0.35, 0.85, 1.5
+#: All sentences of a longer document together weigh as much as so many, lest long or repetitive documents drown the others.
+LENGTH = 32
 #: How much less likely a subject is in a labelled document that doesn't name it (annotators err).
 UNNAMED = 0.15
 #: Weight of an even mix against the document's own mix of subjects.
@@ -143,6 +145,8 @@ def _counts(docs: DataFrame, classes: int, model: object | None) -> tuple[np.nda
             else:
                 weights, doubt = shared.value
                 post = batch.posteriors(weights, doubt, allowed)
+            n = np.bincount(batch.doc, minlength=batch.docs)
+            post = post * (LENGTH / np.maximum(n, LENGTH))[batch.doc][:, None]
             length = np.diff(np.append(batch.begin, len(batch.word)))
             by_word = np.repeat(post, length, axis=0)
             for k in range(classes):
