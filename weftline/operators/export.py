@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import half_up, split_of, tokens
+from weftline.runtime import settle
 
 # Least score of a tag; tags not named always pass.
 THRESHOLDS = {
@@ -64,13 +65,14 @@ def with_silences(candidates: DataFrame, gaps: DataFrame, key: str = "seg_id", n
     tag of the last such gap; a gap with none near becomes a candidate of its own.
     Candidates are told apart by all their columns, equal ones count once each.
     """
-    marked = candidates.select(key, "tag", "score", "position_ms").withColumn("_n", F.row_number().over(Window.partitionBy(key, "tag", "score", "position_ms").orderBy(F.lit(1))))
+    settle(candidates.sparkSession)
+    marked = candidates.select(key, "tag", "score", "position_ms").withColumn("_n", F.row_number().over(Window.partitionBy(key, "tag", "score", "position_ms").orderBy(F.lit(1)))).withColumn("_s", F.coalesce("score", F.lit(-1.0)))
     quiet = marked.where(F.col("tag").isin("pauses", "silence") & F.col("position_ms").isNotNull())
     g = gaps.select(F.col(key).alias("_k"), F.col("tag").alias("_tag"), F.col("score").alias("_score"), "mid")
     pair = quiet.join(g, (F.col(key) == F.col("_k")) & (F.abs(F.col("mid") - F.col("position_ms")) < near))
-    retag = pair.groupBy(key, "tag", "score", "position_ms", "_n").agg(F.max(F.struct("mid", "_tag")).alias("_m"))
+    retag = pair.groupBy(key, "tag", "_s", "position_ms", "_n").agg(F.max(F.struct("mid", "_tag")).alias("_m"))
     kept = (
-        quiet.join(retag, [key, "tag", "score", "position_ms", "_n"], "left")
+        quiet.join(retag, [key, "tag", "_s", "position_ms", "_n"], "left")
         .select(key, F.coalesce("_m._tag", "tag").alias("tag"), "score", "position_ms")
         .unionByName(marked.where(~(F.col("tag").isin("pauses", "silence") & F.col("position_ms").isNotNull()) | F.col("tag").isNull()).select(key, "tag", "score", "position_ms"))
         .withColumn("derived", F.lit(False))
@@ -88,6 +90,7 @@ def render(texts: DataFrame, words: DataFrame, tags: DataFrame, key: str = "seg_
     places go by position, then tag.  A text without words has all its tags in front.
     ``words`` has key, i, s; ``tags`` has key, tag, score and position_ms.
     """
+    settle(texts.sparkSession)
     toks = texts.select(key, F.posexplode(tokens(F.col("text"))).alias("i", "w"))
     timed = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "i"))).alias("_w"))
     lead = F.col("tag").isin(UTTERANCE) | F.col("position_ms").isNull() | F.col("_w").isNull()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import periods
+from weftline.runtime import settle
 
 #: Width of a bin of time in ms for overlap joins; an interval is copied into each bin that it touches.
 BIN_MS = 60_000
@@ -43,6 +44,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
     others named as in ``left`` but the keys.
     """
     a, b = _bins(left, "s", "e", width), _bins(right, "rs", "re", width)
+    settle(left.sparkSession)
     return a.join(b, [*keys, "_bin"]).where("s < re AND rs < e").where(F.col("_bin") == F.floor(F.greatest("s", "rs") / width)).drop("_bin")
 
 
@@ -169,6 +171,7 @@ def as_of(points: DataFrame, words: DataFrame, keys: list[str], chunk: int = per
     is carried over from a table with one row per chunk.  Null where there is none.
     """
     p = points.select(*keys, "t").distinct()
+    settle(points.sparkSession)
     rows = (
         p.select(*keys, "t", F.lit(True).alias("_p"), F.lit(None).cast("long").alias("_e"), F.lit(None).cast("long").alias("_s"))
         .unionByName(words.select(*keys, F.col("e").alias("t"), F.lit(False).alias("_p"), F.col("e").alias("_e"), F.lit(None).cast("long").alias("_s")))

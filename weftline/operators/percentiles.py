@@ -6,11 +6,22 @@ cumulated in ranges of values, so no task needs to hold a speaker.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import half_up
-from weftline.operators.periods import running
+
+
+def running(points: DataFrame, keys: list[str], at: str, n: str, width: float) -> DataFrame:
+    """``points`` (keys, at, n) with ``upto``, the sum of n of the entity up to and including ``at``.
+
+    The sum within a range of ``width`` and the sum of earlier ranges are added.
+    """
+    ranged = points.withColumn("_chunk", F.floor(F.col(at) / width))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    before = ranged.groupBy(*keys, "_chunk").agg(F.sum(n).alias("_n")).withColumn("_before", F.coalesce(earlier, F.lit(0))).drop("_n")
+    within = F.sum(n).over(Window.partitionBy(*keys, "_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_in", within).join(before, [*keys, "_chunk"]).withColumn("upto", F.col("_in") + F.col("_before")).drop("_chunk", "_in", "_before")
 
 
 def strict_percentile(rows: DataFrame, keys: list[str], value: str, name: str, fewest: int = 10, width: float = 0.001) -> DataFrame:

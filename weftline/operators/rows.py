@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.runtime import settle
+
 
 def latest(rows: DataFrame, keys: list[str], written: str = "written_at", ties: tuple[str, ...] = ()) -> DataFrame:
     """The row of each key written last; ties go to the greatest ``ties``.  Rows with a null key are dropped."""
@@ -17,6 +19,7 @@ def latest(rows: DataFrame, keys: list[str], written: str = "written_at", ties:
 
 def union_all(parts: dict[str, DataFrame], name: str = "detector_name") -> DataFrame:
     """All rows of all parts with the part's name, in the parts' order of names; missing columns are null."""
+    settle(next(iter(parts.values())).sparkSession)
     named = [df.withColumn(name, F.lit(k)) for k, df in sorted(parts.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 

@@ -86,7 +86,7 @@ def features(spark: SparkSession, directory: str) -> DataFrame:
 def signal(spark: SparkSession, directory: str) -> DataFrame:
     """(clip, i, x): quantities of order lines as samples of one clip per supplier."""
     rows = table(spark, directory, "lineitem")
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return rows.select(F.col("l_suppkey").alias("clip"), (F.row_number().over(w) - 1).cast("long").alias("i"), (F.col("l_quantity") - 25).alias("x"))
 
 
@@ -131,7 +131,7 @@ cands AS (
 features AS (
   SELECT seg_id, video_id, speaker, 80 + ((e - s) * 7 % 97) / 97.0::DOUBLE * 200 AS f0_mean, CASE WHEN (e - s) % 11 > 0 THEN (((e - s) * 13 + s) % 89) / 89.0::DOUBLE * 5 END AS f0_std,
          ((s * 3 + e - s) % 101) / 101.0::DOUBLE AS voiced, (s % 103) / 103.0::DOUBLE AS rms, ((e - s + s * 5) % 83) / 83.0::DOUBLE AS arousal, (((e - s) * 3 + s) % 79) / 79.0::DOUBLE AS valence FROM spans),
-signal AS (SELECT l_suppkey AS clip, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i, l_quantity - 25 AS x FROM lineitem)"""
+signal AS (SELECT l_suppkey AS clip, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i, l_quantity - 25 AS x FROM lineitem)"""
 
 
 def merged(name: str, source: str, gap: int = 0, keys: str = "video_id, speaker") -> str:

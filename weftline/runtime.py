@@ -30,13 +30,19 @@ def local_session(app: str = "weftline", cores: str | None = None, shuffle_parti
     )
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """Set what right results need: Spark 4.1 lets a union keep its children's partitioning although adaptive execution may coalesce each child in its own way, and a grouping above then misses rows."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the folder the session names in spark.checkpoint.dir.
 
     The folder is shared by all executors, so a lost executor loses nothing.  Only
     a session that names no folder (tests on one machine) gets one of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = settle(df.sparkSession).sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
@@ -45,7 +51,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return settle(spark).read.parquet(f"{directory}/{name}.parquet")
 
 
 def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
@@ -65,6 +71,7 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total:
     rows are broadcast and their rows stay where they are.  All others take a
     shuffled join in which no key is large.  ``how`` is inner or left.
     """
+    settle(rows.sparkSession)
     hot = lookup.where(F.col(count) * HOT_PARTS > total)
     plain = lookup.join(F.broadcast(hot.select(key)), key, "left_anti")
     return (
@@ -75,9 +82,11 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors unless their Python finds it already (PYTHONPATH or working directory of a local session)."""
+    """Settle the session, and send this package to the executors unless their Python finds it already (PYTHONPATH or working directory of a local session)."""
     import zipfile
 
+    settle(spark)
+
     import weftline
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(weftline.__file__)))
