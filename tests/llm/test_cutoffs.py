@@ -71,3 +71,20 @@ def test_report(spark):
     rows = [(i, "a", "x", i / 10, T0, "") for i in range(10)]
     _, report = cutoffs.cutoffs(spark.createDataFrame(rows, CANDIDATES), spark.createDataFrame([("a", "x", 300)], TARGETS))
     assert [tuple(r) for r in report.collect()] == [("a", "x", 300, 10, 0.7, 3)]
+
+
+def test_stored_tree_survives_a_batch_written_twice(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), "x", rng.random()) for _ in range(300)]
+    schema, keys = "detector string, tag string, score double", ["detector", "tag"]
+    store = cutoffs.TreeStore(spark, str(tmp_path / "tree"), keys)
+    for batch, part in ((0, rows[:100]), (1, rows[100:]), (1, rows[100:])):
+        store.add(batch, spark.createDataFrame(part, schema))
+    df = spark.createDataFrame(rows, schema)
+    key = lambda t: sorted(map(tuple, t.select(*keys, "level", "node", "n").collect()))
+    assert key(store.tree()) == key(cutoffs.count_tree(df, keys))
+    goal = spark.createDataFrame([("a", "x", 250), ("b", "x", 500)], "detector string, tag string, keep_permille int")
+    cut = {r.detector: r.cutoff for r in cutoffs.refine(df, cutoffs.descend(store.tree(), goal, keys), keys).collect()}
+    for d, k in (("a", 250), ("b", 500)):
+        mine = sorted((s for x, _, s in rows if x == d), reverse=True)
+        assert cut[d] == mine[max(1, -(-k * len(mine) // 1000)) - 1]

@@ -9,7 +9,7 @@ descending to the wanted rank and refining one leaf to its distinct scores.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.runtime import SMALL_ROWS, checkpoint
@@ -55,6 +55,22 @@ def add_batch(tree: DataFrame, batch: DataFrame, sources: list[str]) -> DataFram
     return tree.unionByName(batch).groupBy(*sources, "level", "node").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+class TreeStore:
+    """A tree kept in a folder, one part per batch; a batch written again replaces its own part."""
+
+    def __init__(self, spark: SparkSession, path: str, sources: list[str]) -> None:
+        self.spark, self.path, self.sources = spark, path, sources
+
+    def add(self, batch: int, scored: DataFrame, score: str = "score", weight: str | None = None) -> None:
+        """Count a batch's scores; works as the body of foreachBatch."""
+        tree = count_tree(scored, self.sources, score, weight).withColumn("batch", F.lit(batch).cast("long"))
+        tree.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+
+    def tree(self) -> DataFrame:
+        """The counts of all batches."""
+        return self.spark.read.parquet(self.path).groupBy(*self.sources, "level", "node").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
 def descend(tree: DataFrame, targets: DataFrame, sources: list[str], permille: str = "keep_permille", bits: int = BITS) -> DataFrame:
     """For each source in ``targets``: counted, the leaf that holds the target rank, and the rank left within it.
 
