@@ -198,3 +198,31 @@ def as_of(points: DataFrame, words: DataFrame, keys: list[str], chunk: int = per
         .join(carried, [*keys, "_chunk"])
         .select(*keys, "t", F.coalesce("_e1", "_e0").alias("prev_end"), F.coalesce("_s1", "_s0").alias("next_start"))
     )
+
+
+def clipped_to(regions: DataFrame, windows: DataFrame, keys: list[str], window: str = "window", width: int = BIN_MS) -> DataFrame:
+    """(keys..., window, s, e): the parts of ``regions`` inside each window (keys, window, s, e), in time from the window's start."""
+    w = windows.select(*keys, window, F.col("s").alias("rs"), F.col("e").alias("re"))
+    inside = overlap_join(regions.select(*keys, "s", "e"), w, keys, width)
+    return inside.select(*keys, window, (F.greatest("s", "rs") - F.col("rs")).alias("s"), (F.least("e", "re") - F.col("rs")).alias("e"))
+
+
+def speech_islands(speech: DataFrame, words: DataFrame, keys: list[str], pad: int = 120, gap: int = 50, least: int = 300) -> DataFrame:
+    """(keys..., s, e): speech of ``least`` ms or more that no word covers; words are padded, not below 0, and merged across ``gap``."""
+    cover = merge_close(dilate(words.select(*keys, "s", "e"), pad, 0), keys, gap)
+    return subtract(speech, cover, keys).where(F.col("e") - F.col("s") >= least)
+
+
+def paste_regions(suspect: DataFrame, turns: DataFrame, keys: list[str], width: int = 10_000, least: int = 20, pad: int = 100, gap: int = 50) -> DataFrame:
+    """(keys..., window, s, e): where separated audio replaces the original, per window of ``width`` ms.
+
+    The parts of suspect regions inside a window that are the speaker's own speech for
+    more than ``least`` ms, padded within the window and merged across ``gap``.
+    """
+    last = F.floor((F.col("e") - 1) / width)
+    tiled = suspect.where("e > s").select(*keys, "s", "e", F.explode(F.sequence(F.floor(F.col("s") / width), last)).alias("window"))
+    cut = tiled.select(*keys, "window", F.greatest("s", F.col("window") * width).alias("s"), F.least("e", (F.col("window") + 1) * width).alias("e"))
+    own = turns.select(*keys, F.col("s").alias("rs"), F.col("e").alias("re"))
+    part = overlap_join(cut, own, keys).select(*keys, "window", F.greatest("s", "rs").alias("s"), F.least("e", "re").alias("e")).where(F.col("e") - F.col("s") > least)
+    padded = part.select(*keys, "window", F.greatest(F.col("s") - pad, F.col("window") * width).alias("s"), F.least(F.col("e") + pad, (F.col("window") + 1) * width).alias("e"))
+    return merge_close(padded, [*keys, "window"], gap)

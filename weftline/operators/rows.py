@@ -59,3 +59,30 @@ def new_messages(log: DataFrame, order: str, message: str, group: list[str]) ->
     before = F.lag(message).over(Window.partitionBy(*group).orderBy(order))
     first = F.row_number().over(Window.partitionBy(*group).orderBy(order)) == 1
     return log.withColumn("_new", first | ~before.eqNullSafe(F.col(message))).where("_new").drop("_new")
+
+
+def retried(first: DataFrame, second: DataFrame, key: str, value: str, error: str = "error") -> DataFrame:
+    """``first`` (key, value, error) with the values of a second try where the first failed and the second didn't."""
+    again = second.where(F.col(error).isNull()).select(key, F.col(value).alias("_v"))
+    failed = F.col(error).isNotNull() & F.col("_v").isNotNull()
+    joined = first.join(again, key, "left")
+    return joined.select(key, F.when(failed, F.col("_v")).otherwise(F.col(value)).alias(value), F.when(~failed, F.col(error)).alias(error))
+
+
+def or_default(value: Column, default: float, legacy: bool = False) -> Column:
+    """``value`` or its default where it is null; with ``legacy`` also where it is 0."""
+    return F.coalesce(F.nullif(value, F.lit(0)) if legacy else value, F.lit(default))
+
+
+def source_order(names: DataFrame, name: str, kind: str, first: list[str]) -> DataFrame:
+    """Audio sources in the order they are offered, each name once: ``first`` as listed, then lanes, then speaker tracks; hidden files are left out."""
+    place = F.array_position(F.array(*map(F.lit, first)), F.col(name))
+    rank = F.when(place > 0, place).when(F.col(kind) == "lane", 1000).otherwise(2000)
+    seen = names.where(~F.col(name).startswith(".")).withColumn("_p", rank).groupBy(name).agg(F.min("_p").alias("_p"))
+    return seen.withColumn("place", F.row_number().over(Window.orderBy("_p", name))).drop("_p")
+
+
+def engine_map(rows: DataFrame, key: str, engine: str, text: str) -> DataFrame:
+    """(key, engines): the text of each engine by name, in one map per key; the greatest of repeated ones."""
+    one = rows.groupBy(key, engine).agg(F.max(F.coalesce(text, F.lit(""))).alias("_t"))
+    return one.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(engine, "_t")))).alias("engines"))

@@ -74,3 +74,23 @@ def longest_first(turns: DataFrame, keys: list[str], k: int = 8, least: int = 10
 
 def rms_rounded(frames: DataFrame, places: int = 6) -> DataFrame:
     return frames.withColumn("rms", half_up(F.col("rms"), places))
+
+
+def prosody(frames: DataFrame, keys: list[str], clips: DataFrame) -> DataFrame:
+    """(keys..., f0_mean, f0_std_st, voiced_ratio, rms, rate_wps) of clips.
+
+    ``frames`` has f0, voiced and rms per frame and active (see active_frames); ``clips``
+    has keys, n_words and dur in seconds.  The deviation is that of semitones and needs
+    more than three voiced frames; ratio and level count active frames only and are 0
+    without any; the rate is null without words.
+    """
+    heard = F.col("voiced") & F.col("f0").isNotNull() & ~F.isnan("f0")
+    f0, semitone = F.when(heard, F.col("f0")), F.when(heard, 12 * F.log2("f0"))
+    stats = frames.groupBy(*keys).agg(
+        half_up(F.avg(f0), 2).alias("f0_mean"),
+        F.when(F.count(f0) > 3, half_up(F.stddev_pop(semitone), 3)).alias("f0_std_st"),
+        F.coalesce(half_up(F.avg(F.when(F.col("active"), F.col("voiced").cast("double"))), 3), F.lit(0.0)).alias("voiced_ratio"),
+        F.coalesce(half_up(F.avg(F.when(F.col("active"), F.col("rms"))), 5), F.lit(0.0)).alias("rms"),
+    )
+    rate = half_up(F.nullif(F.col("n_words"), F.lit(0)) / F.col("dur"), 2)
+    return stats.join(clips.select(*keys, rate.alias("rate_wps")), keys, "left")

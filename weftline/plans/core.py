@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators import periods
-from weftline.plans import export_queries, interval_queries, stream_queries, word_queries
+from weftline.plans import export_queries, interval_queries, more_queries, stream_queries, word_queries
 from weftline.runtime import table
 
 
@@ -19,7 +19,7 @@ def p5_periods(spark: SparkSession, directory: str) -> DataFrame:
     return periods.speech_periods(table(spark, directory, "speakers"), table(spark, directory, "segments"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_periods)} | interval_queries.QUERIES | word_queries.QUERIES | export_queries.QUERIES | stream_queries.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_periods)} | interval_queries.QUERIES | word_queries.QUERIES | export_queries.QUERIES | stream_queries.QUERIES | more_queries.QUERIES
 
 _P5 = """
 WITH raw AS (
@@ -27,7 +27,7 @@ WITH raw AS (
   UNION ALL SELECT video_id, speaker, 'exclusive_turns', x."start", x."end" FROM (SELECT video_id, speaker, unnest(exclusive_turns) AS x FROM speakers)
   UNION ALL SELECT video_id, speaker, 'segments', "start", "end" FROM segments),
 iv AS (
-  SELECT video_id, speaker, src, floor(a * 1000 + 0.5)::BIGINT AS s, floor(b * 1000 + 0.5)::BIGINT AS e FROM raw
+  SELECT DISTINCT video_id, speaker, src, floor(a * 1000 + 0.5)::BIGINT AS s, floor(b * 1000 + 0.5)::BIGINT AS e FROM raw
   WHERE trim(speaker) <> '' AND a IS NOT NULL AND b IS NOT NULL AND floor(b * 1000 + 0.5) > floor(a * 1000 + 0.5)),
 reach AS (
   SELECT *, max(e) OVER (PARTITION BY video_id, speaker, src ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv),
@@ -43,4 +43,4 @@ ORACLE: dict[str, str] = {
   SELECT video_id, speaker, src, e AS gap_start_ms, lead(s) OVER (PARTITION BY video_id, speaker, src ORDER BY s) AS gap_end_ms FROM period)
 WHERE gap_end_ms IS NOT NULL""",
     "p5_periods": _P5 + "SELECT video_id, speaker, src, s AS start_ms, e AS end_ms FROM period",
-} | interval_queries.ORACLE | word_queries.ORACLE | export_queries.ORACLE | stream_queries.ORACLE
+} | interval_queries.ORACLE | word_queries.ORACLE | export_queries.ORACLE | stream_queries.ORACLE | more_queries.ORACLE

@@ -135,11 +135,11 @@ signal AS (SELECT l_suppkey AS clip, row_number() OVER (PARTITION BY l_suppkey O
 
 
 def merged(name: str, source: str, gap: int = 0, keys: str = "video_id, speaker") -> str:
-    """A view of the intervals of ``source`` merged across ``gap``."""
+    """A view of the intervals of ``source`` merged across ``gap``; repeated ones go first, as their order is open."""
     return f"""{name} AS (
   SELECT {keys}, min(s) AS s, max(e) AS e FROM (
     SELECT *, sum(CASE WHEN reach IS NULL OR s - reach > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
-      SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}))
+      SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT {keys}, s, e FROM {source})))
   GROUP BY {keys}, g)"""
 
 

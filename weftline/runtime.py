@@ -60,8 +60,8 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 
 
 def blank(c: Column) -> Column:
-    """True for null, empty and blank strings."""
-    return F.coalesce(F.trim(c) == "", F.lit(True))
+    """True for null and empty strings and those of white space only."""
+    return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: Column | int, how: str = "inner") -> DataFrame:
