@@ -20,7 +20,7 @@ BITS = 16
 
 def source_name(c: Column) -> Column:
     """Spellings that differ in case, outer blanks or square brackets are one."""
-    return F.lower(F.regexp_replace(c, r"^[\s\[\]]+|[\s\[\]]+$", ""))
+    return F.lower(F.regexp_replace(c, r"(?U)^[\s\[\]]+|[\s\[\]]+$", ""))
 
 
 def usable(score: Column) -> Column:

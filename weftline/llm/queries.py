@@ -33,7 +33,9 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p3_shares(spark: SparkSession, directory: str) -> DataFrame:
-    return repetition.repetition(table(spark, directory, "lane_transcripts").select("video_id", "chunk_id", "text")).drop("text")
+    clips = table(spark, directory, "transcripts").select(F.lit("transcripts").alias("tbl"), "video_id", F.col("seg_id").alias("rec_id"), "text")
+    lanes = table(spark, directory, "lane_transcripts").select(F.lit("lane_transcripts").alias("tbl"), "video_id", F.col("chunk_id").alias("rec_id"), "text")
+    return repetition.repetition(clips.unionByName(lanes)).drop("text")
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -42,7 +44,9 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "transcripts").select("seg_id", "text").withColumn("form", canon.canonical_form(F.col("text")))
+    texts = table(spark, directory, "transcripts").select("seg_id", "text")
+    plain = table(spark, directory, "dataset").select(F.col("sample_id").alias("seg_id"), F.col("text_plain").alias("text"))
+    return texts.unionByName(plain).withColumn("form", canon.canonical_form(F.col("text")))
 
 
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:

@@ -74,7 +74,7 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def state(df: DataFrame) -> tuple:
         h = F.xxhash64("a", "b")
-        return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+        return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 30))).first())
 
     now = state(clusters)
     for _ in range(max_rounds):
