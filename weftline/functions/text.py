@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 FILLERS = ["uh", "um", "hmm", "haan", "अ", "अं", "आं", "उह", "हम्म", "हाँ", "अच्छा"]
 # Fixed value: fillers counted in a comparison of engines.
 FILLER_PATTERN = r"उह+|हम्+म?|अं+|अच्छा|मतलब|यानी|हाँ|\b(?:uh+|um+|hmm+|haan|like)\b"
+#: The same with the ends of a word as ASCII has them, as other scripts may adjoin.
+_FILLER = "(?i)" + FILLER_PATTERN.replace(r"\b(", r"(?<![A-Za-z0-9_])(").replace(r"\b", r"(?![A-Za-z0-9_])")
 # Fixed value: addresses that carry a video id of 11 characters.
 VIDEO_URL = r"(?:youtube\.com/(?:watch\?(?:.*&)?v=|shorts/|live/|embed/)|youtu\.be/)([A-Za-z0-9_-]{11})"
 
@@ -35,7 +37,7 @@ def is_filler(token: Column) -> Column:
 
 def filler_count(text: Column) -> Column:
     """Matches of the comparison's filler pattern, whatever their case; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit("(?i)" + FILLER_PATTERN)), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(_FILLER)), F.lit(0))
 
 
 def alignable(token: Column) -> Column:

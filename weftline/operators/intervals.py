@@ -26,6 +26,15 @@ def merge_close(intervals: DataFrame, keys: list[str], gap: int = 0) -> DataFram
     return periods.periods(moved, keys).withColumn("e", F.col("e") - gap)
 
 
+def merge_bounded(intervals: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
+    """merge_close for entities that are small by their nature, such as the words of a clip: one window per entity."""
+    w = Window.partitionBy(*keys).orderBy("s", "e")
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = intervals.where("s IS NOT NULL AND e IS NOT NULL AND e >= s").select(*keys, "s", "e", F.when(reach.isNull() | (F.col("s") - reach > gap), 1).otherwise(0).alias("_new"))
+    numbered = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
+
+
 def dilate(intervals: DataFrame, pad: int, floor: int | None = None) -> DataFrame:
     """Every interval longer by ``pad`` at both ends, its start not below ``floor``."""
     s = F.col("s") - pad
@@ -63,20 +72,23 @@ def overlap_ms(left: DataFrame, right: DataFrame, keys: list[str], name: str = "
     return left.distinct().withColumn(name, F.lit(0).cast("bigint")).unionByName(some).groupBy(*left.columns).agg(F.sum(name).alias(name))
 
 
-def subtract(keep: DataFrame, remove: DataFrame, keys: list[str], width: int = BIN_MS) -> DataFrame:
+def subtract(keep: DataFrame, remove: DataFrame, keys: list[str], width: int = BIN_MS, disjoint: bool = False) -> DataFrame:
     """What is left of each kept interval without the removed ones of equal keys; removals may overlap.
 
     Pieces lie before the first, between and behind the merged removals that overlap an
-    interval.  Pieces without length vanish, as do kept intervals without length.
+    interval; the removals of one interval, at most one per two ms of it, are gathered
+    beside it.  ``disjoint`` removals aren't merged again.  Pieces without length vanish,
+    as do kept intervals without length.
     """
-    cut = merge_close(remove.where("e > s"), keys).withColumnsRenamed({"s": "rs", "e": "re"})
+    cut = (remove if disjoint else merge_close(remove.where("e > s"), keys)).select(*keys, F.col("s").alias("rs"), F.col("e").alias("re"))
     own = keep.select(*keys, "s", "e").where("e > s").distinct()
-    hit = overlap_join(own, cut, keys, width)
-    one = Window.partitionBy(*keys, "s", "e").orderBy("rs")
-    before = hit.select(*keys, F.coalesce(F.lag("re").over(one), "s").alias("ps"), F.col("rs").alias("pe"))
-    tail = hit.groupBy(*keys, "s", "e").agg(F.max("re").alias("ps")).select(*keys, "ps", F.col("e").alias("pe"))
-    whole = own.join(hit.select(*keys, "s", "e").distinct(), [*keys, "s", "e"], "left_anti").select(*keys, F.col("s").alias("ps"), F.col("e").alias("pe"))
-    return before.unionByName(tail).unionByName(whole).where("pe > ps").select(*keys, F.col("ps").alias("s"), F.col("pe").alias("e"))
+    none = F.lit(None).cast("struct<rs: bigint, re: bigint>")
+    hit = overlap_join(own, cut, keys, width).select(*keys, "s", "e", F.struct("rs", "re").alias("r"))
+    lists = own.withColumn("r", none).unionByName(hit).groupBy(*keys, "s", "e").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    starts = F.concat(F.array("s"), F.transform("r", lambda x: x.re))
+    ends = F.concat(F.transform("r", lambda x: x.rs), F.array("e"))
+    pieces = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("s"), b.alias("e"))), lambda x: x.e > x.s)
+    return lists.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.s", "p.e")
 
 
 def others(turns: DataFrame, pad: int = 0) -> DataFrame:
@@ -209,8 +221,8 @@ def clipped_to(regions: DataFrame, windows: DataFrame, keys: list[str], window:
 
 def speech_islands(speech: DataFrame, words: DataFrame, keys: list[str], pad: int = 120, gap: int = 50, least: int = 300) -> DataFrame:
     """(keys..., s, e): speech of ``least`` ms or more that no word covers; words are padded, not below 0, and merged across ``gap``."""
-    cover = merge_close(dilate(words.select(*keys, "s", "e"), pad, 0), keys, gap)
-    return subtract(speech, cover, keys).where(F.col("e") - F.col("s") >= least)
+    cover = merge_bounded(dilate(words.select(*keys, "s", "e"), pad, 0), keys, gap)
+    return subtract(speech, cover, keys, disjoint=True).where(F.col("e") - F.col("s") >= least)
 
 
 def paste_regions(suspect: DataFrame, turns: DataFrame, keys: list[str], width: int = 10_000, least: int = 20, pad: int = 100, gap: int = 50) -> DataFrame:
@@ -225,4 +237,4 @@ def paste_regions(suspect: DataFrame, turns: DataFrame, keys: list[str], width:
     own = turns.select(*keys, F.col("s").alias("rs"), F.col("e").alias("re"))
     part = overlap_join(cut, own, keys).select(*keys, "window", F.greatest("s", "rs").alias("s"), F.least("e", "re").alias("e")).where(F.col("e") - F.col("s") > least)
     padded = part.select(*keys, "window", F.greatest(F.col("s") - pad, F.col("window") * width).alias("s"), F.least(F.col("e") + pad, (F.col("window") + 1) * width).alias("e"))
-    return merge_close(padded, [*keys, "window"], gap)
+    return merge_bounded(padded, [*keys, "window"], gap)

@@ -36,7 +36,8 @@ def paste_regions(spark, directory):
 def prosody_features(spark, directory):
     s = signal(spark, directory)
     rms = S.active_frames(S.rms_rounded(S.frame_rms(s, ["clip"], 4)), ["clip"])
-    frames = rms.withColumns({"active": F.col("rms") > 13, "voiced": F.col("f") % 3 > 0, "f0": (80 + (F.col("f") * 37) % 211).cast("double")})
+    eighths = F.floor(F.col("rms") * 8 + 0.5) / 8  # sums are exact in any order
+    frames = rms.withColumns({"rms": eighths, "active": eighths > 13, "voiced": F.col("f") % 3 > 0, "f0": (80 + (F.col("f") * 37) % 211).cast("double")})
     clips = s.groupBy("clip").agg(F.floor(F.count("*") / 7).alias("n_words"), (F.count("*") / 100).alias("dur"))
     return S.prosody(frames, ["clip"], clips)
 
@@ -91,7 +92,7 @@ ORACLE = {
         f"""SELECT a.clip, f0_mean, f0_std_st, voiced_ratio, rms, {_half("nullif(n // 7, 0) / (n / 100.0::DOUBLE)", 2)} AS rate_wps FROM (
               SELECT clip, {_half("avg(CASE WHEN v THEN f0 END)", 2)} AS f0_mean, CASE WHEN count(*) FILTER (v) > 3 THEN {_half("stddev_pop(CASE WHEN v THEN 12 * log2(f0) END)", 3)} END AS f0_std_st,
                      coalesce({_half("avg(CASE WHEN rms > 13 THEN v::INTEGER::DOUBLE END)", 3)}, 0.0::DOUBLE) AS voiced_ratio, coalesce({_half("avg(CASE WHEN rms > 13 THEN rms END)", 5)}, 0.0::DOUBLE) AS rms
-              FROM (SELECT *, f % 3 > 0 AS v, (80 + (f * 37) % 211)::DOUBLE AS f0 FROM frames) GROUP BY clip) a JOIN (SELECT clip, count(*) AS n FROM signal GROUP BY clip) b ON a.clip = b.clip""",
+              FROM (SELECT *, f % 3 > 0 AS v, (80 + (f * 37) % 211)::DOUBLE AS f0 FROM (SELECT clip, f, floor(rms * 8 + 0.5) / 8.0::DOUBLE AS rms FROM frames)) GROUP BY clip) a JOIN (SELECT clip, count(*) AS n FROM signal GROUP BY clip) b ON a.clip = b.clip""",
         _RMS.format(n=4),
     ),
     "engine_texts": query(
