@@ -54,9 +54,9 @@ def test_odd_rows(spark):
 
 def test_sentences(spark):
     text = "Kelvo: First one here. [laughs] Second 7.5 one!\r\n* 12:01 Third\n\thttps://x.example/a?b=1\nseg 12 / sigh @ 3.4s: Fourth? ... "
-    df = spark.createDataFrame([(text,), (None,)], "t string")
+    df = spark.createDataFrame([(text,), (None,), ("aB3+x/Q9=_f\nOne 0x1F more. " + "x" * 50_000,)], "t string")
     rows = [r[0] for r in df.select(subjects.sentences(df.t)).collect()]
-    assert rows == [[["first", "one", "here"], ["second", "one"], ["third"], ["fourth"]], []]
+    assert rows == [[["first", "one", "here"], ["second", "one"], ["third"], ["fourth"]], [], [["one", "more"], ["x" * 50_000]]]
 
 
 def test_shared_words_have_no_weight():

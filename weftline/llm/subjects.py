@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from weftline.runtime import checkpoint
 
-#: Words and pairs of words are hashed to so many features; the model has a row for each.
-FEATURES = 1 << 17
+#: Words are hashed to so many features and pairs of words to so many others; the model has a row for each.
+WORDS, PAIRS = 1 << 17, 1 << 17
+FEATURES = WORDS + PAIRS
 #: Rounds of expectation-maximization.
 ROUNDS = 6
 #: Labelled documents used to calibrate, at most.
@@ -41,19 +42,22 @@ EVEN = 0.5
 # What precedes the words of a line - bullet, time, clip reference, speaker.
 _PREFIX = r"(?m)^[ \t]*(?:[-*•–][ \t]*)?(?:\d{1,3}:\d\d(?::\d\d)?[ \t]+)?(?:seg \d+ / \S+ @ [\d.]+s:[ \t]*)?(?:[^\s:.!?।]{1,30}:[ \t]+)?"
 
+# Strings that mix letters and digits, such as codes and encoded data, are no words.
+_CODE = r"(?<!\S)\S*?(?:\d\p{L}|\p{L}\d)\S*"
+
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text as arrays of lower-case words; tags in brackets, links and line prefixes are no words."""
+    """The sentences of a text as arrays of lower-case words; tags in brackets, links, codes and line prefixes are no words."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?|[\x{85}\x{2028}\x{2029}]", "\n")
     t = F.regexp_replace(F.regexp_replace(t, r"\[[\p{L}_ ]{1,30}\]|https?://\S+", " "), r"\p{Cf}+", "")
-    t = F.regexp_replace(t, _PREFIX, "")
+    t = F.regexp_replace(F.regexp_replace(t, _PREFIX, ""), _CODE, " ")
     words = F.transform(F.split(F.lower(t), r"[.!?।॥…]+(?=\s|$)|\n+"), lambda s: F.regexp_extract_all(s, F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0)))
     return F.filter(words, lambda w: F.size(w) > 0)
 
 
 def features(text: Column) -> Column:
     """The sentences with each word hashed to a feature."""
-    return F.transform(sentences(text), lambda s: F.transform(s, lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int")))
+    return F.transform(sentences(text), lambda s: F.transform(s, lambda w: F.pmod(F.xxhash64(w), F.lit(WORDS)).cast("int")))
 
 
 @dataclass
@@ -74,13 +78,22 @@ class Batch:
         word = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(size) - size
         pair = np.empty_like(word)
-        pair[1:] = (word[:-1] * 40503 + word[1:] * 31 + 12345) % FEATURES
-        pair[begin] = (word[begin] * 31 + 12345) % FEATURES
+        pair[1:] = WORDS + (word[:-1] * 40503 + word[1:] * 31 + 12345) % PAIRS
+        pair[begin] = WORDS + (word[begin] * 31 + 12345) % PAIRS
         return cls(word, pair, begin, np.repeat(np.arange(len(per_doc)), per_doc), len(per_doc))
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        """Sum of the weights of each sentence's features."""
-        return np.add.reduceat(weights[self.word] + weights[self.pair], self.begin, axis=0) if len(self.begin) else np.zeros((0, weights.shape[1]), weights.dtype)
+        """Sum of the weights of each sentence's words, and of those pairs of which a word tells of the same subject.
+
+        So a rare pair that shares its feature with another one's has no say.
+        """
+        if not len(self.begin):
+            return np.zeros((0, weights.shape[1]), weights.dtype)
+        word = weights[self.word]
+        tells = word > 0
+        tells[1:] |= tells[:-1].copy()
+        tells[self.begin] = word[self.begin] > 0
+        return np.add.reduceat(word + weights[self.pair] * tells, self.begin, axis=0)
 
     def posteriors(self, weights: np.ndarray, doubt: float, allowed: np.ndarray) -> np.ndarray:
         """Of each sentence over subjects and none, given its document's own mix.  ``allowed`` has the factor of each subject in each document."""
