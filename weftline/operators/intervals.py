@@ -142,6 +142,8 @@ def tiles(regions: DataFrame, keys: list[str], width: int = 10_000) -> DataFrame
 
 def crosstalk_free(exclusive: DataFrame, turns: DataFrame, guard: int = 150, gap: int = 300, rescued: DataFrame | None = None) -> DataFrame:
     """A speaker's turns without the guarded turns of others (but for rescued regions), merged across ``gap``."""
+    if not 0 <= guard <= 1000:
+        raise ValueError("guard must be from 0 to 1000 ms")
     keys = ["video_id", "speaker"]
     remove = others(turns, guard)
     if rescued is not None:

@@ -86,3 +86,16 @@ def engine_map(rows: DataFrame, key: str, engine: str, text: str) -> DataFrame:
     """(key, engines): the text of each engine by name, in one map per key; the greatest of repeated ones."""
     one = rows.groupBy(key, engine).agg(F.max(F.coalesce(text, F.lit(""))).alias("_t"))
     return one.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(engine, "_t")))).alias("engines"))
+
+
+def failures(rows: DataFrame, error: str = "error", key: list[str] | None = None) -> DataFrame:
+    """(key..., n, n_failed): rows and those with an error; raise_if_all_failed() takes the same counts as a check."""
+    return rows.groupBy(*(key or [])).agg(F.count("*").alias("n"), F.count(error).alias("n_failed"))
+
+
+def raise_if_all_failed(rows: DataFrame, error: str = "error") -> tuple[int, int]:
+    """(rows, failed ones); an error if there are rows and all of them failed."""
+    n, bad = failures(rows, error).first()
+    if n and n == bad:
+        raise RuntimeError(f"all {n} rows failed")
+    return n, bad

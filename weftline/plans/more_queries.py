@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.operators import detectors as D
 from weftline.operators import intervals as I
 from weftline.operators import rows as R
 from weftline.operators import signals as S
 from weftline.operators import words as W
+from weftline.plans import export_queries, word_queries
 from weftline.plans.export_queries import _RMS, _half
 from weftline.plans.interval_queries import _SUSPECT, _SWEEP, KEYS, _minus, _them
-from weftline.plans.views import islands, merged, query, samples, signal, texts, turns, words
+from weftline.plans.views import candidates, features, islands, merged, query, samples, signal, texts, turns, words
 from weftline.runtime import table
 
 
@@ -62,9 +64,53 @@ def skipped_words(spark, directory):
     return st.agg(F.count("*").alias("n"), F.count_if(F.col("n_skipped") == F.col("n_words")).alias("errors"))
 
 
-QUERIES = {f.__name__: f for f in (speech_islands, lane_windows, paste_regions, prosody_features, engine_texts, retried_texts, skipped_words)}
+def detected(spark, directory):
+    """Candidates of all registered detectors."""
+    tables = {"words": words(spark, directory), "islands": islands(spark, directory), "features": features(spark, directory)}
+    return D.detect(tables).select("seg_id", "tag", "score", "position_s", "detector_name")
+
+
+def chip_labels(spark, directory):
+    c = candidates(spark, directory)
+    return c.where("try_parse_json(evidence) IS NOT NULL").select("cand_id", D.chip_label(F.col("tag"), F.col("score"), F.col("evidence")).alias("label"))
+
+
+def failure_counts(spark, directory):
+    return R.failures(table(spark, directory, "lane_transcripts"), "error", ["engine"])
+
+
+QUERIES = {f.__name__: f for f in (detected, chip_labels, failure_counts, speech_islands, lane_windows, paste_regions, prosody_features, engine_texts, retried_texts, skipped_words)}
+
+def _body(sql: str) -> str:
+    """The SELECT behind the common views of another query's SQL."""
+    return sql[len(query("")) - 1 :].lstrip()
+
+
+_AT = "floor(({}) / 1000.0::DOUBLE * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE"
+_W, _E = word_queries.ORACLE, export_queries.ORACLE
+_J = "json_extract_string(evidence, '$.{}')"
+_TWO = "printf('%.2f', floor(({}) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE)"
 
 ORACLE = {
+    "detected": query(
+        f"""SELECT seg_id, 'pauses' AS tag, score, {_AT.format("mid")} AS position_s, 'beats' AS detector_name FROM pauses p WHERE NOT EXISTS (SELECT 1 FROM islands i WHERE i.seg_id = p.seg_id AND i.s < p.mid AND p.mid < i.e)
+            UNION ALL SELECT seg_id, 'hesitates', score, {_AT.format('"at"')}, 'beats' FROM ({_body(_W["beats_hesitates"])})
+            UNION ALL SELECT seg_id, 'stammers', 0.7::DOUBLE, {_AT.format('"at"')}, 'beats' FROM ({_body(_W["beats_stammers"])})
+            UNION ALL SELECT seg_id, 'stammers', 0.5::DOUBLE, {_AT.format('"at"')}, 'beats' FROM ({_body(_W["island_cluster"]).replace("9000", "2000")})
+            UNION ALL SELECT seg_id, 'whispers', score, NULL, 'whispers' FROM ({_body(_E["whispers"])})
+            UNION ALL SELECT seg_id, tag, score, NULL, 'tones' FROM ({_body(_E["tones"])})
+            UNION ALL SELECT seg_id, tag, score, NULL, 'states' FROM ({_body(_E["states"])})""",
+        word_queries._PAUSES,
+    ),
+    "chip_labels": query(
+        f"""SELECT cand_id, CASE WHEN tag = 'pauses' AND {_J.format("gap_s")} IS NOT NULL THEN {_TWO.format(_J.format("gap_s") + "::DOUBLE")} || 's'
+              WHEN tag = 'hesitates' AND {_J.format("filler")} IS NOT NULL THEN '"' || {_J.format("filler")} || '"'
+              WHEN tag = 'hesitates' AND {_J.format("island")} IS NOT NULL THEN {_TWO.format(_J.format("island[1]") + "::DOUBLE - " + _J.format("island[0]") + "::DOUBLE")} || 's'
+              WHEN tag = 'stammers' AND {_J.format("repeated")} IS NOT NULL THEN '"' || {_J.format("repeated")} || '"'
+              WHEN tag = 'stammers' AND {_J.format("island_cluster")} IS NOT NULL THEN json_array_length(evidence, '$.island_cluster')::VARCHAR || '×'
+              WHEN score IS NOT NULL THEN {_TWO.format("score")} END AS label FROM cands WHERE json_valid(evidence)"""
+    ),
+    "failure_counts": "SELECT engine, count(*) AS n, count(error) AS n_failed FROM lane_transcripts GROUP BY engine",
     "speech_islands": query(
         "SELECT seg_id, s, e FROM d WHERE e - s >= 300",
         "speech AS (SELECT seg_id AS video_id, seg_id AS speaker, seg_id, 0::BIGINT AS s, max(e) AS e FROM words GROUP BY seg_id)",
