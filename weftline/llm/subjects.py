@@ -20,8 +20,8 @@ from weftline.runtime import checkpoint
 #: Words are hashed to so many features and pairs of words to so many others; the model has a row for each.
 WORDS, PAIRS = 1 << 17, 1 << 17
 FEATURES = WORDS + PAIRS
-#: Rounds of expectation-maximization.
-ROUNDS = 6
+#: Rounds of expectation-maximization at most, and the share of sentences that may still change their subject in the last.
+ROUNDS, SETTLED = 8, 0.001
 #: Labelled documents used to calibrate, at most.
 CALIBRATION_DOCS = 20_000
 #: Most subject areas.
@@ -32,6 +32,8 @@ SHARE = 0.125
 ALPHA = 2.0
 #: A feature tells of a subject from this part of the way between the subject's base rate and SURE, in log odds; a sentence's features must make up for DOUBT.
 COMMON, SURE, DOUBT = 0.35, 0.85, 1.5
+#: Parts of a sentence's count that are smaller are left out of the sums of features.
+LEAST_COUNT = 1e-4
 #: All sentences of a longer document together weigh as much as so many, lest long or repetitive documents drown the others.
 LENGTH = 32
 #: How much less likely a subject is in a labelled document that doesn't name it (annotators err).
@@ -87,13 +89,23 @@ class Batch:
 
         So a rare pair that shares its feature with another one's has no say.
         """
-        if not len(self.begin):
-            return np.zeros((0, weights.shape[1]), weights.dtype)
-        word = weights[self.word]
-        tells = word > 0
-        tells[1:] |= tells[:-1].copy()
-        tells[self.begin] = word[self.begin] > 0
-        return np.add.reduceat(word + weights[self.pair] * tells, self.begin, axis=0)
+        out = np.zeros((len(self.begin), weights.shape[1]), np.float32)
+        telling = weights.any(1)[self.word]
+        near = telling.copy()
+        near[1:] |= telling[:-1]
+        near[self.begin] = telling[self.begin]
+        at = np.flatnonzero(near)
+        if not len(at):
+            return out
+        first = np.zeros(len(self.word), bool)
+        first[self.begin] = True
+        word = weights[self.word[at]]
+        before = weights[self.word[np.maximum(at - 1, 0)]] * ~first[at][:, None]
+        value = word + weights[self.pair[at]] * ((word > 0) | (before > 0))
+        sentence = np.searchsorted(self.begin, at, "right") - 1
+        begins = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+        out[sentence[begins]] = np.add.reduceat(value, begins, axis=0)
+        return out
 
     def posteriors(self, weights: np.ndarray, doubt: float, allowed: np.ndarray) -> np.ndarray:
         """Of each sentence over subjects and none, given its document's own mix.  ``allowed`` has the factor of each subject in each document."""
@@ -161,10 +173,13 @@ def _counts(docs: DataFrame, classes: int, model: object | None) -> tuple[np.nda
             n = np.bincount(batch.doc, minlength=batch.docs)
             post = post * (LENGTH / np.maximum(n, LENGTH))[batch.doc][:, None]
             length = np.diff(np.append(batch.begin, len(batch.word)))
-            by_word = np.repeat(post, length, axis=0)
             for k in range(classes):
-                for feature in (batch.word, batch.pair):
-                    counts[:, k] += np.bincount(feature, by_word[:, k], FEATURES)
+                some = np.flatnonzero(post[:, k] > LEAST_COUNT)
+                n_words = length[some]
+                at = np.repeat(batch.begin[some] - (np.cumsum(n_words) - n_words), n_words) + np.arange(n_words.sum())
+                weight = np.repeat(post[some, k], n_words)
+                for feature, lo, size in ((batch.word, 0, WORDS), (batch.pair, WORDS, PAIRS)):
+                    counts[lo : lo + size, k] += np.bincount(feature[at] - lo, weight, size)
             sizes += post.sum(0)
         some = np.flatnonzero(counts.sum(1) > 1e-6)
         f = np.append(some, -1).astype(np.int32)
@@ -238,7 +253,10 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     if not sizes.sum():
         return documents.sparkSession.createDataFrame([], schema), names
     for _ in range(rounds):
+        before = sizes
         counts, sizes = _counts(docs, classes, (complement_weights(counts), DOUBT))
+        if np.abs(sizes - before).sum() <= 2 * SETTLED * sizes.sum():
+            break
     shared = docs.sparkSession.sparkContext.broadcast((complement_weights(counts), DOUBT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
