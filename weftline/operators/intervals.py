@@ -42,7 +42,7 @@ def dilate(intervals: DataFrame, pad: int, floor: int | None = None) -> DataFram
 
 
 def _bins(df: DataFrame, s: str, e: str, width: int) -> DataFrame:
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(s) / width), F.greatest(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))))
+    return df.withColumn("__weft_bin", F.explode(F.sequence(F.floor(F.col(s) / width), F.greatest(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = BIN_MS) -> DataFrame:
@@ -54,7 +54,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
     """
     a, b = _bins(left, "s", "e", width), _bins(right, "rs", "re", width)
     settle(left.sparkSession)
-    return a.join(b, [*keys, "_bin"]).where("s < re AND rs < e").where(F.col("_bin") == F.floor(F.greatest("s", "rs") / width)).drop("_bin")
+    return a.join(b, [*keys, "__weft_bin"]).where("s < re AND rs < e").where(F.col("__weft_bin") == F.floor(F.greatest("s", "rs") / width)).drop("__weft_bin")
 
 
 def touching(left: DataFrame, right: DataFrame, keys: list[str], width: int = BIN_MS) -> DataFrame:

@@ -31,11 +31,11 @@ def strict_percentile(rows: DataFrame, keys: list[str], value: str, name: str, f
     range of values cumulated in one task.
     """
     x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    counts = rows.select(*keys, x.alias("_x")).where("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    below = running(counts, keys, "_x", "_c", width).select(*keys, "_x", (F.col("upto") - F.col("_c")).alias("_below"))
-    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_all"))
-    share = below.join(total, keys).select(*keys, "_x", F.when(F.col("_all") < fewest, 0.5).otherwise(F.col("_below") / F.col("_all")).alias(name))
-    return rows.withColumn("_x", x).join(share, [*keys, "_x"], "left").drop("_x")
+    counts = rows.select(*keys, x.alias("__weft_x")).where("__weft_x IS NOT NULL").groupBy(*keys, "__weft_x").agg(F.count("*").alias("__weft_c"))
+    below = running(counts, keys, "__weft_x", "__weft_c", width).select(*keys, "__weft_x", (F.col("upto") - F.col("__weft_c")).alias("__weft_below"))
+    total = counts.groupBy(*keys).agg(F.sum("__weft_c").alias("__weft_all"))
+    share = below.join(total, keys).select(*keys, "__weft_x", F.when(F.col("__weft_all") < fewest, 0.5).otherwise(F.col("__weft_below") / F.col("__weft_all")).alias(name))
+    return rows.withColumn("__weft_x", x).join(share, [*keys, "__weft_x"], "left").drop("__weft_x")
 
 
 def whispers(features: DataFrame, voiced_most: float = 0.25, percentile: float = 0.20) -> DataFrame:

@@ -14,7 +14,7 @@ def latest(rows: DataFrame, keys: list[str], written: str = "written_at", ties:
     """The row of each key written last; ties go to the greatest ``ties``.  Rows with a null key are dropped."""
     order = [F.col(c).desc_nulls_last() for c in (written, *ties)]
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    return rows.where(known).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+    return rows.where(known).withColumn("__weft_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__weft_r = 1").drop("__weft_r")
 
 
 def union_all(parts: dict[str, DataFrame], name: str = "detector_name") -> DataFrame:
@@ -33,9 +33,9 @@ def to_do(rows: DataFrame, done: DataFrame, key: str, failed: str | None = None)
 def systematic_sample(rows: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
     """``limit`` rows of each group evenly spaced in ``order``: those numbered floor(i * n / limit); all rows of smaller groups."""
     w = Window.partitionBy(*group)
-    k, n = F.col("_k"), F.col("_n")
+    k, n = F.col("__weft_k"), F.col("__weft_n")
     picked = (n <= limit) | (F.floor(F.ceil(k * limit / n) * n / limit) == k)
-    return rows.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w)).where(picked).drop("_k", "_n")
+    return rows.withColumn("__weft_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__weft_n", F.count("*").over(w)).where(picked).drop("__weft_k", "__weft_n")
 
 
 def rename(value: Column, names: dict[str, str]) -> Column:
@@ -50,15 +50,15 @@ def rename(value: Column, names: dict[str, str]) -> Column:
 def first_of(rows: DataFrame, keys: list[str], choice: str, priority: list[str]) -> DataFrame:
     """Of each key the row whose ``choice`` stands first in ``priority``; other choices don't count."""
     place = F.array_position(F.array(*map(F.lit, priority)), F.col(choice))
-    ranked = rows.withColumn("_p", place).where("_p > 0")
-    return ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_p"))).where("_r = 1").drop("_p", "_r")
+    ranked = rows.withColumn("__weft_p", place).where("__weft_p > 0")
+    return ranked.withColumn("__weft_r", F.row_number().over(Window.partitionBy(*keys).orderBy("__weft_p"))).where("__weft_r = 1").drop("__weft_p", "__weft_r")
 
 
 def new_messages(log: DataFrame, order: str, message: str, group: list[str]) -> DataFrame:
     """A log without messages equal to the one just before."""
     before = F.lag(message).over(Window.partitionBy(*group).orderBy(order))
     first = F.row_number().over(Window.partitionBy(*group).orderBy(order)) == 1
-    return log.withColumn("_new", first | ~before.eqNullSafe(F.col(message))).where("_new").drop("_new")
+    return log.withColumn("__weft_new", first | ~before.eqNullSafe(F.col(message))).where("__weft_new").drop("__weft_new")
 
 
 def retried(first: DataFrame, second: DataFrame, key: str, value: str, error: str = "error") -> DataFrame:
@@ -78,8 +78,8 @@ def source_order(names: DataFrame, name: str, kind: str, first: list[str]) -> Da
     """Audio sources in the order they are offered, each name once: ``first`` as listed, then lanes, then speaker tracks; hidden files are left out."""
     place = F.array_position(F.array(*map(F.lit, first)), F.col(name))
     rank = F.when(place > 0, place).when(F.col(kind) == "lane", 1000).otherwise(2000)
-    seen = names.where(~F.col(name).startswith(".")).withColumn("_p", rank).groupBy(name).agg(F.min("_p").alias("_p"))
-    return seen.withColumn("place", F.row_number().over(Window.orderBy("_p", name))).drop("_p")
+    seen = names.where(~F.col(name).startswith(".")).withColumn("__weft_p", rank).groupBy(name).agg(F.min("__weft_p").alias("__weft_p"))
+    return seen.withColumn("place", F.row_number().over(Window.orderBy("__weft_p", name))).drop("__weft_p")
 
 
 def engine_map(rows: DataFrame, key: str, engine: str, text: str) -> DataFrame:

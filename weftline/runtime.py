@@ -45,6 +45,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = settle(df.sparkSession).sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
     return df.checkpoint(eager=True)
 
