@@ -107,10 +107,10 @@ def test_related_rows_stay_together_and_shares_are_near(spark, many):
 
 
 def test_clashing_and_repeated_rows(spark):
-    df = spark.createDataFrame([("clip-1", "a", 1), ("clip-1", "a", 1), (None, None, 2), (None, None, 2)], SCHEMA).withColumn("assigned_split", F.lit("old")).withColumn("_v", F.lit(3)) .drop("_v")
+    df = spark.createDataFrame([("clip-1", "a", 1), ("clip-1", "a", 1), (None, None, 2), (None, None, 2)], SCHEMA).withColumn("assigned_split", F.lit("old")).withColumn("_v", F.lit(3)).withColumn("_n", F.lit(4))
     out = splits.assign_splits(df, spark.createDataFrame([("train", 1000), (None, 5), ("zero", 0)], TARGETS))
     assert out.count() == 4 and {r.assigned_split for r in out.collect()} == {"train"}
-    assert out.columns.count("assigned_split") == 1
+    assert out.columns.count("assigned_split") == 1 and {(r["_v"], r["_n"]) for r in out.collect()} == {(3, 4)}
 
 
 def test_no_targets_give_null(spark):

@@ -159,11 +159,11 @@ def repetition(rows: DataFrame, text: str = "text", share: str = "repeated_share
     gain = lambda x: _letters(F.array_join(F.regexp_extract_all(x, run, F.lit(0)), "")) - _letters(F.array_join(F.regexp_extract_all(x, run, F.lit(1)), ""))
     return (
         rows.drop(share, longest)
-        .withColumn("_w", w)
-        .withColumn("_runs", F.when(F.exists("_w", lambda x: (F.length(x) > 5) & x.rlike(_RUN)), F.transform("_w", lambda x: F.when(x.rlike(_RUN), gain(x)).otherwise(0))))
-        .withColumn("_m", measure(F.transform("_w", lambda x: F.xxhash64(x)), F.transform("_w", _letters), F.coalesce("_runs", F.transform("_w", lambda _: F.lit(0)))))
-        .withColumns({share: F.col("_m.share"), longest: F.col("_m.longest")})
-        .drop("_w", "_runs", "_m")
+        .withColumn("__weft_w", w)
+        .withColumn("__weft_runs", F.when(F.exists("__weft_w", lambda x: (F.length(x) > 5) & x.rlike(_RUN)), F.transform("__weft_w", lambda x: F.when(x.rlike(_RUN), gain(x)).otherwise(0))))
+        .withColumn("__weft_m", measure(F.transform("__weft_w", lambda x: F.xxhash64(x)), F.transform("__weft_w", _letters), F.coalesce("__weft_runs", F.transform("__weft_w", lambda _: F.lit(0)))))
+        .withColumns({share: F.col("__weft_m.share"), longest: F.col("__weft_m.longest")})
+        .drop("__weft_w", "__weft_runs", "__weft_m")
     )
 
 

@@ -33,11 +33,11 @@ def _links(rows: DataFrame, video: str, sample: str) -> DataFrame:
     v, s = F.col(video), F.col(sample)
     return (
         rows.select(
-            F.when(~blank(s), s).alias("_s"),
-            F.array_compact(F.array(F.when(~blank(v), v), recording_of_clip(s))).alias("_vs"),
+            F.when(~blank(s), s).alias("__weft_s"),
+            F.array_compact(F.array(F.when(~blank(v), v), recording_of_clip(s))).alias("__weft_vs"),
         )
-        .where("_s IS NOT NULL")
-        .select("_s", F.explode(F.array_distinct("_vs")).alias("_v"))
+        .where("__weft_s IS NOT NULL")
+        .select("__weft_s", F.explode(F.array_distinct("__weft_vs")).alias("__weft_v"))
         .distinct()
     )
 
@@ -48,12 +48,12 @@ def recording_graph(rows: DataFrame, video: str = "video_id", sample: str = "sam
     Samples of one recording carry no link and drop out before any join.
     """
     links = _links(rows, video, sample)
-    shared = links.groupBy("_s").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")).where("_lo < _hi")
-    total = links.select(F.count("*").alias("_t")).scalar()
+    shared = links.groupBy("__weft_s").agg(F.min("__weft_v").alias("__weft_lo"), F.max("__weft_v").alias("__weft_hi"), F.count("*").alias("__weft_n")).where("__weft_lo < __weft_hi")
+    total = links.select(F.count("*").alias("__weft_t")).scalar()
     return (
-        spread_join(links, shared.drop("_hi"), "_s", "_n", total)
-        .where("_v <> _lo")
-        .select(F.col("_v").alias("a"), F.col("_lo").alias("b"))
+        spread_join(links, shared.drop("__weft_hi"), "__weft_s", "__weft_n", total)
+        .where("__weft_v <> __weft_lo")
+        .select(F.col("__weft_v").alias("a"), F.col("__weft_lo").alias("b"))
         .distinct()
     )
 
@@ -151,28 +151,28 @@ def assign_splits(
     shares = {name: int(w) for name, w in wanted}
     data = rows.drop(split, unit)
     v, s = F.col(video), F.col(sample)
-    keyed = data.withColumn("_v", F.coalesce(F.when(~blank(v), v), recording_of_clip(s)))
+    keyed = data.withColumn("__weft_v", F.coalesce(F.when(~blank(v), v), recording_of_clip(s)))
 
-    by_sample = _links(data, video, sample).groupBy("_s").agg(F.min("_v").alias("_lo"))
-    orphan = keyed.where("_v IS NULL").drop("_v")
+    by_sample = _links(data, video, sample).groupBy("__weft_s").agg(F.min("__weft_v").alias("__weft_lo"))
+    orphan = keyed.where("__weft_v IS NULL").drop("__weft_v")
     everything = F.to_json(F.struct(*(F.col(f"`{c}`") for c in data.columns))) if data.columns else F.lit("")
-    rescued = orphan.withColumn("_s", s).join(by_sample, "_s", "left").drop("_s")
-    rescued = rescued.withColumn("_v", F.coalesce(F.col("_lo"), F.when(~blank(s), F.concat(F.lit("\u0001sample "), s)), F.concat(F.lit("\u0001row "), F.sha2(everything, 256)))).drop("_lo")
-    keyed = keyed.where("_v IS NOT NULL").unionByName(rescued)
-
-    sizes = keyed.groupBy("_v").agg(F.count("*").alias("_n"))
-    component = related_recordings(data, video, sample).withColumnRenamed("node", "_v")
-    units = checkpoint(sizes.join(component, "_v", "left").withColumn(unit, F.coalesce("component", "_v")).drop("component"))
-    whole = units.groupBy(unit).agg(F.sum("_n").alias("_u"))
-    total = units.agg(F.sum("_n")).first()[0] or 0
+    rescued = orphan.withColumn("__weft_s", s).join(by_sample, "__weft_s", "left").drop("__weft_s")
+    rescued = rescued.withColumn("__weft_v", F.coalesce(F.col("__weft_lo"), F.when(~blank(s), F.concat(F.lit("\u0001sample "), s)), F.concat(F.lit("\u0001row "), F.sha2(everything, 256)))).drop("__weft_lo")
+    keyed = keyed.where("__weft_v IS NOT NULL").unionByName(rescued)
+
+    sizes = keyed.groupBy("__weft_v").agg(F.count("*").alias("__weft_n"))
+    component = related_recordings(data, video, sample).withColumnRenamed("node", "__weft_v")
+    units = checkpoint(sizes.join(component, "__weft_v", "left").withColumn(unit, F.coalesce("component", "__weft_v")).drop("component"))
+    whole = units.groupBy(unit).agg(F.sum("__weft_n").alias("__weft_u"))
+    total = units.agg(F.sum("__weft_n")).first()[0] or 0
     if not shares:
         placed, lacking, choice = {}, {}, F.lit(None).cast("string")
     else:
-        heavy = [tuple(x) for x in whole.where(F.col("_u") * HEAVY_PARTS > total).collect()]
+        heavy = [tuple(x) for x in whole.where(F.col("__weft_u") * HEAVY_PARTS > total).collect()]
         placed, lacking = _place(heavy, shares, total)
         choice = rendezvous(F.col(unit), lacking)
     chosen = units.withColumn(split, choice)
     if placed:
-        fixed = data.sparkSession.createDataFrame(list(placed.items()), f"`{unit}` string, _fixed string")
-        chosen = chosen.join(F.broadcast(fixed), unit, "left").withColumn(split, F.coalesce("_fixed", split)).drop("_fixed")
-    return spread_join(keyed, chosen, "_v", "_n", total).select(*(F.col(f"`{c}`") for c in data.columns), unit, split)
+        fixed = data.sparkSession.createDataFrame(list(placed.items()), f"`{unit}` string, __weft_fixed string")
+        chosen = chosen.join(F.broadcast(fixed), unit, "left").withColumn(split, F.coalesce("__weft_fixed", split)).drop("__weft_fixed")
+    return spread_join(keyed, chosen, "__weft_v", "__weft_n", total).select(*(F.col(f"`{c}`") for c in data.columns), unit, split)
