@@ -133,7 +133,9 @@ def test_silences_and_rendering(spark):
     texts = spark.createDataFrame([("a", "a b  c"), ("n", "x y"), ("e", "")], "seg_id string, text string")
     words = spark.createDataFrame([("a", 0, 0), ("a", 1, 1000), ("a", 2, 2000)], "seg_id string, i int, s long")
     tags = spark.createDataFrame([("a", "pauses", 0.5, 500), ("a", "sigh", 0.5, 9000), ("a", "calm", 0.7, 700), ("a", "laughs", 0.9, None), ("n", "sigh", 0.5, 1), ("zz", "sigh", 0.5, 1)], "seg_id string, tag string, score double, position_ms long")
-    assert dict(got(X.render(texts, words, tags))) == {"a": "[laughs] [calm] a [pauses] b c [sigh]", "n": "[sigh] x y"}
+    lines = {r.seg_id: r for r in X.render(texts, words, tags).collect()}
+    assert {k: r.tagged for k, r in lines.items()} == {"a": "[laughs] [calm] a [pauses] b c [sigh]", "n": "[sigh] x y"}
+    assert lines["a"].tags == ["calm", "laughs", "pauses", "sigh"] and lines["n"].tags == ["sigh"]
 
 
 def test_matrix(spark):

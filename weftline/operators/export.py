@@ -83,7 +83,7 @@ def with_silences(candidates: DataFrame, gaps: DataFrame, key: str = "seg_id", n
 
 
 def render(texts: DataFrame, words: DataFrame, tags: DataFrame, key: str = "seg_id") -> DataFrame:
-    """(key, tagged): texts with their tags in brackets.
+    """(key, tagged, tags): texts with their tags in brackets, and the distinct tags in order.
 
     Tags of the whole utterance, and tags without position, lead by falling score; others
     stand before the first word that starts after their position, or at the end.  Equal
@@ -100,6 +100,7 @@ def render(texts: DataFrame, words: DataFrame, tags: DataFrame, key: str = "seg_
         .select(key, "tag", "score", "position_ms", lead.alias("_lead"), after.alias("_i"))
         .select(
             key,
+            "tag",
             F.struct(
                 F.when(F.col("_lead"), -1).otherwise(F.coalesce(F.col("_i") * 2, F.lit(1 << 30))).cast("long").alias("place"),
                 F.when(F.col("_lead"), -F.coalesce("score", F.lit(0.0))).otherwise(F.col("position_ms").cast("double")).alias("order"),
@@ -107,13 +108,13 @@ def render(texts: DataFrame, words: DataFrame, tags: DataFrame, key: str = "seg_
             ).alias("p"),
         )
     )
-    plain = toks.select(key, F.struct((F.col("i") * 2 + 1).cast("long").alias("place"), F.lit(0.0).alias("order"), F.col("w").alias("x")).alias("p"))
+    plain = toks.select(key, F.lit(None).cast("string").alias("tag"), F.struct((F.col("i") * 2 + 1).cast("long").alias("place"), F.lit(0.0).alias("order"), F.col("w").alias("x")).alias("p"))
     known = texts.select(key).distinct()
     return (
         plain.unionByName(placed.join(known, key, "left_semi"))
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list("p")).alias("p"))
-        .select(key, F.array_join(F.transform("p", lambda x: x.x), " ").alias("tagged"))
+        .agg(F.array_sort(F.collect_list("p")).alias("p"), F.array_sort(F.collect_set("tag")).alias("tags"))
+        .select(key, F.array_join(F.transform("p", lambda x: x.x), " ").alias("tagged"), "tags")
     )
 
 
@@ -124,17 +125,15 @@ def matrix(rows: DataFrame, speaker: str = "speaker", tags: str = "tags", by: tu
     return base.select(*by, speaker, F.explode(cells).alias("tag")).groupBy(*by, speaker, "tag").agg(F.count("*").alias("n"))
 
 
-def training_rows(clips: DataFrame, texts: DataFrame, tagged: DataFrame, tags: DataFrame, key: str = "seg_id") -> DataFrame:
-    """Rows of clips that have a text: sample_id, video_id, speaker, text, text_plain, line, tags, dur, split."""
-    names = tags.groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+def training_rows(clips: DataFrame, texts: DataFrame, lines: DataFrame, key: str = "seg_id") -> DataFrame:
+    """Rows of clips that have a text: sample_id, video_id, speaker, text, text_plain, line, tags, dur, split; ``lines`` as render() gives them."""
     plain = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     return (
         clips.join(texts.select(key, plain.alias("text_plain")), key)
         .where("text_plain <> ''")
-        .join(tagged, key)
-        .join(names, key, "left")
+        .join(lines, key)
         .select(
             F.col(key).alias("sample_id"), "video_id", "speaker", F.col("tagged").alias("text"), "text_plain", F.concat("speaker", F.lit(": "), "tagged").alias("line"),
-            F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), half_up((F.col("e") - F.col("s")) / 1000, 3).alias("dur"), split_of(F.col("video_id")).alias("split"),
+            "tags", half_up((F.col("e") - F.col("s")) / 1000, 3).alias("dur"), split_of(F.col("video_id")).alias("split"),
         )
     )

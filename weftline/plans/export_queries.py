@@ -77,12 +77,12 @@ def _lines(spark, directory):
 
 
 def tag_render(spark, directory):
-    return _lines(spark, directory)[1]
+    return _lines(spark, directory)[1].drop("tags")
 
 
 def dataset_rows(spark, directory):
     t, lines = _lines(spark, directory)
-    return X.training_rows(spans(spark, directory), t, lines, _tags(spark, directory))
+    return X.training_rows(spans(spark, directory), t, lines)
 
 
 def speaker_tag_matrix(spark, directory):
