@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import half_up, split_of, tokens
@@ -63,23 +63,19 @@ def with_silences(candidates: DataFrame, gaps: DataFrame, key: str = "seg_id", n
     ``candidates`` has key, tag, score and position_ms; ``gaps`` has key, tag, score and
     mid (see words.pauses).  A pause or silence nearer than ``near`` to a gap takes the
     tag of the last such gap; a gap with none near becomes a candidate of its own.
-    Candidates are told apart by all their columns, equal ones count once each.
+    The gaps of a clip are gathered beside each of its candidates, which stay as often
+    as they are given.
     """
     settle(candidates.sparkSession)
-    marked = candidates.select(key, "tag", "score", "position_ms").withColumn("_n", F.row_number().over(Window.partitionBy(key, "tag", "score", "position_ms").orderBy(F.lit(1)))).withColumn("_s", F.coalesce("score", F.lit(-1.0)))
-    quiet = marked.where(F.col("tag").isin("pauses", "silence") & F.col("position_ms").isNotNull())
-    g = gaps.select(F.col(key).alias("_k"), F.col("tag").alias("_tag"), F.col("score").alias("_score"), "mid")
-    pair = quiet.join(g, (F.col(key) == F.col("_k")) & (F.abs(F.col("mid") - F.col("position_ms")) < near))
-    retag = pair.groupBy(key, "tag", "_s", "position_ms", "_n").agg(F.max(F.struct("mid", "_tag")).alias("_m"))
-    kept = (
-        quiet.join(retag, [key, "tag", "_s", "position_ms", "_n"], "left")
-        .select(key, F.coalesce("_m._tag", "tag").alias("tag"), "score", "position_ms")
-        .unionByName(marked.where(~(F.col("tag").isin("pauses", "silence") & F.col("position_ms").isNotNull()) | F.col("tag").isNull()).select(key, "tag", "score", "position_ms"))
-        .withColumn("derived", F.lit(False))
-    )
-    matched = pair.select("_k", "mid").distinct()
-    fresh = g.join(matched, ["_k", "mid"], "left_anti").select(F.col("_k").alias(key), F.col("_tag").alias("tag"), F.col("_score").alias("score"), F.col("mid").alias("position_ms"), F.lit(True).alias("derived"))
-    return kept.unionByName(fresh)
+    rows = candidates.select(key, "tag", "score", F.col("position_ms").cast("double").alias("position_ms"))
+    quiet = F.col("tag").isin("pauses", "silence") & F.col("position_ms").isNotNull()
+    lists = gaps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("mid", "tag"))).alias("_gaps"))
+    beside = F.filter("_gaps", lambda g: F.abs(g.mid - F.col("position_ms")) < near)
+    last = F.get(beside, F.size(beside) - 1).tag
+    kept = rows.join(lists, key, "left").select(key, F.when(quiet, F.coalesce(last, "tag")).otherwise(F.col("tag")).alias("tag"), "score", "position_ms", F.lit(False).alias("derived"))
+    taken = rows.where(quiet).select(F.col(key).alias("_k"), F.col("position_ms").alias("_at"))
+    free = gaps.join(taken, (F.col(key) == F.col("_k")) & (F.abs(F.col("mid") - F.col("_at")) < near), "left_anti")
+    return kept.unionByName(free.select(key, "tag", "score", F.col("mid").alias("position_ms"), F.lit(True).alias("derived")))
 
 
 def render(texts: DataFrame, words: DataFrame, tags: DataFrame, key: str = "seg_id") -> DataFrame:
