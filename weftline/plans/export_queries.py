@@ -17,6 +17,8 @@ from weftline.runtime import table
 
 SPEAKER = ["video_id", "speaker"]
 DIMS = 64
+#: Name of candidates without a detector; no file stem has brackets.
+NO_DETECTOR = "(none)"
 
 
 def threshold_filter(spark, directory):
@@ -24,9 +26,9 @@ def threshold_filter(spark, directory):
 
 
 def candidate_union(spark, directory):
-    c = candidates(spark, directory).select("cand_id", "seg_id", "tag", "score", "detector")
-    parts = {n: c.where(F.col("detector") == n).drop("detector") for n in ("beats", "laughs", "states", "tones")}
-    return rows.union_all(parts).groupBy("detector_name", "tag").agg(F.count("*").alias("n"))
+    """Candidates of every detector by name; those without one count as NO_DETECTOR."""
+    c = candidates(spark, directory).select(F.coalesce("detector", F.lit(NO_DETECTOR)).alias("detector_name"), "tag")
+    return c.groupBy("detector_name", "tag").agg(F.count("*").alias("n"))
 
 
 def _flags(spark, directory):
