@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 from tests.compare import DATA, compare, connect
+from weftline.operators import detectors as D
 from weftline.plans import core
 from weftline.plans.views import query
 
@@ -28,3 +29,25 @@ def test_union_counts_every_detector(spark, tmp_path):
 @data
 def test_union_as_in_sql_over_all_detectors(spark, con):
     compare(spark, con, core.QUERIES["candidate_union"], query("SELECT coalesce(detector, '(none)') AS detector_name, tag, count(*) AS n FROM cands GROUP BY ALL"))
+
+
+def test_percentiles_stay_within_a_recording(spark):
+    """Two recordings whose SPEAKER_00 are not the same person: v has 25 clips, all values of the 19 clips of w are lower."""
+    row = lambda v, i, x: (f"{v}{i}", v, "SPEAKER_00", 100 + x, x, 0.1 if i == 10 else 0.8, 1 + x, x, x)
+    rows = [row("v", i, 50.0 + i) for i in range(25)] + [row("w", i, i / 25) for i in range(19)]
+    f = spark.createDataFrame(rows, "seg_id string, video_id string, speaker string, f0_mean double, f0_std double, voiced double, rms double, arousal double, valence double")
+    hits = {}
+    for r in D.detect({"features": f}, ["tones", "states", "whispers"]).collect():
+        hits.setdefault(r.tag, set()).add(r.seg_id)
+    assert hits["flatly"] == {"v0", "v1", "v2"} and hits["cheerfully"] == {"v23", "v24"}
+    assert hits["excited"] == {f"v{i}" for i in range(20, 25)} and hits["sorrowful"] == {f"v{i}" for i in range(8)}
+    assert hits["whispers"] == {"v10", "w10"}
+
+
+@data
+@pytest.mark.parametrize("name", ["tones", "states", "whispers", "detected"])
+def test_percentiles_as_in_sql_by_recording(spark, con, name):
+    sql = core.ORACLE[name].replace("PARTITION BY speaker", "PARTITION BY video_id, speaker")
+    sql = sql.replace("(SELECT quantile_cont(rms, 0.2) FROM features WHERE rms > 0)", "(SELECT quantile_cont(g.rms, 0.2) FROM features g WHERE g.rms > 0 AND g.video_id = features.video_id)")
+    assert sql != core.ORACLE[name]
+    compare(spark, con, core.QUERIES[name], sql)

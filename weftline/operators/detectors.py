@@ -2,9 +2,10 @@
 
 A candidate row is (seg_id, tag, score, detector, position_s, evidence), evidence
 being JSON whose fields depend on the rule.  ``tables`` gives each detector what it
-names: words (seg_id, i, w, s, e), islands (seg_id, s, e), features (seg_id, speaker,
-f0_mean, f0_std, voiced, rms, arousal, valence), frames (seg_id, f, one column per
-sound class) with clips (seg_id, dur_ms).
+names: words (seg_id, i, w, s, e), islands (seg_id, s, e), features (seg_id, video_id,
+speaker, f0_mean, f0_std, voiced, rms, arousal, valence), frames (seg_id, f, one column
+per sound class) with clips (seg_id, dur_ms).  Features without video_id are those of a
+single recording.
 """
 
 from __future__ import annotations
@@ -53,16 +54,24 @@ def beats(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _keys(features: DataFrame, *more: str) -> list[str]:
+    """What percentiles are relative to: speakers' labels hold within a recording only."""
+    return [*(["video_id"] if "video_id" in features.columns else []), *more]
+
+
 def whispers(tables: dict[str, DataFrame]) -> DataFrame:
-    return _rows(percentiles.whispers(tables["features"]), F.lit("whispers"), "voicing_ratio", None, F.struct((1 - F.col("score")).alias("voiced_ratio")))
+    f = tables["features"]
+    return _rows(percentiles.whispers(f, _keys(f)), F.lit("whispers"), "voicing_ratio", None, F.struct((1 - F.col("score")).alias("voiced_ratio")))
 
 
 def tones(tables: dict[str, DataFrame]) -> DataFrame:
-    return _rows(percentiles.tones(tables["features"], ["speaker"]), F.col("tag"), "prosody_percentile", None, F.struct(F.lit("speaker").alias("relative_to")))
+    f = tables["features"]
+    return _rows(percentiles.tones(f, _keys(f, "speaker")), F.col("tag"), "prosody_percentile", None, F.struct(F.lit("speaker").alias("relative_to")))
 
 
 def states(tables: dict[str, DataFrame]) -> DataFrame:
-    return _rows(percentiles.states(tables["features"], ["speaker"]), F.col("tag"), "arousal_valence_percentile", None, F.struct(F.lit(True).alias("weak")))
+    f = tables["features"]
+    return _rows(percentiles.states(f, _keys(f, "speaker")), F.col("tag"), "arousal_valence_percentile", None, F.struct(F.lit(True).alias("weak")))
 
 
 def sounds(tables: dict[str, DataFrame], classes: dict[str, list[str]]) -> DataFrame:

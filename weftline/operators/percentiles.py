@@ -38,10 +38,12 @@ def strict_percentile(rows: DataFrame, keys: list[str], value: str, name: str, f
     return rows.withColumn("__weft_x", x).join(share, [*keys, "__weft_x"], "left").drop("__weft_x")
 
 
-def whispers(features: DataFrame, voiced_most: float = 0.25, percentile: float = 0.20) -> DataFrame:
-    """(seg_id, score): hardly voiced clips that aren't quieter than most: rms at or above the job's percentile of positive values."""
-    floor = features.where("rms > 0").agg(F.percentile("rms", F.lit(percentile)).alias("floor"))
-    return features.join(F.broadcast(floor)).where((F.col("rms") >= F.coalesce("floor", F.lit(0.0))) & (F.col("voiced") <= voiced_most)).select("seg_id", half_up(1 - F.col("voiced"), 3).alias("score"))
+def whispers(features: DataFrame, keys: list[str], voiced_most: float = 0.25, percentile: float = 0.20) -> DataFrame:
+    """(seg_id, score): hardly voiced clips that aren't quieter than most: rms at or above the percentile of positive values of the job, which ``keys`` name."""
+    known = features.where("rms > 0").groupBy(*keys, "rms").agg(F.count("*").alias("_c"))
+    floor = known.groupBy(*keys).agg(F.percentile("rms", F.lit(percentile), F.col("_c")).alias("floor"))
+    at = features.join(floor, keys, "left") if keys else features.join(F.broadcast(floor))
+    return at.where((F.col("rms") >= F.coalesce("floor", F.lit(0.0))) & (F.col("voiced") <= voiced_most)).select("seg_id", half_up(1 - F.col("voiced"), 3).alias("score"))
 
 
 def tones(features: DataFrame, keys: list[str], fewest: int = 20, flat: float = 0.10, cheer: float = 0.90) -> DataFrame:
