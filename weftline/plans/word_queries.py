@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import rows
+from weftline.operators import intervals, rows
 from weftline.operators import words as W
-from weftline.plans.views import WS, candidates, islands, query, samples, spans, texts, words
-from weftline.runtime import table
+from weftline.plans.views import WS, candidates, islands, query, samples, spans, texts, turns, words
+from weftline.runtime import checkpoint, table
 
 KEY = ["seg_id"]
 
@@ -63,23 +63,76 @@ def edge_sacrifice(spark, directory):
     return W.clean_edges(w, W.word_groups(w, islands(spark, directory), KEY, gap=100), KEY)
 
 
-def word_cut_segments(spark, directory):
-    """Clips cut anew from the words of the lane transcripts, a chunk at a time."""
-    lanes = rows.latest(table(spark, directory, "lane_transcripts"), ["video_id", "chunk_id"], ties=("text", "engine", "start"))
-    named = lanes.where("text IS NOT NULL AND `start` IS NOT NULL AND speaker IS NOT NULL").select("video_id", "speaker", "chunk_id", F.floor(F.col("start") * 1000 + 0.5).alias("start"), T.tokens(F.col("text")).alias("tokens"))
-    gap = lambda i, n: F.when((i * 131 + n * 17) % 7 == 0, (i * 97 + n * 13) % 1900).otherwise(50)
+def lane_words(lanes):
+    """(video_id, speaker, chunk_id, i, w, s, e, next_s) of every token of the lane transcripts, timed from the chunk's start as in views.words."""
     from pyspark.sql import Window
 
-    up = Window.partitionBy("video_id", "chunk_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("video_id", "chunk_id").orderBy("i")
     n = F.length("w")
-    timed = named.select("video_id", "chunk_id", "start", F.posexplode("tokens").alias("i", "w")).withColumn("e", F.sum(gap(F.col("i"), n) + 40 + 60 * n).over(up) + F.col("start")).withColumn("s", F.col("e") - 40 - 60 * n)
-    lists = timed.where(F.col("w").rlike(r"\p{L}")).groupBy("video_id", "chunk_id").agg(F.collect_list(F.struct("i", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))).alias("words"))
-    empty = F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)")
-    far = F.lit(None).cast("long")
-    chunks = named.join(lists, ["video_id", "chunk_id"], "left").select(
-        "video_id", "speaker", "chunk_id", "start", "tokens", "words", empty.alias("islands"), empty.alias("forbidden"), empty.alias("others"), far.alias("prev_end"), far.alias("next_start")
-    )
-    return W.cut_clips(chunks).select("video_id", "speaker", "n", "chunk_id", "s", "e", "text", "status", "clipped", "aligned_frac")
+    gap = F.when((F.col("i") * 131 + n * 17) % 7 == 0, (F.col("i") * 97 + n * 13) % 1900).otherwise(50)
+    at = lanes.select("video_id", "speaker", "chunk_id", "start", F.posexplode("tokens").alias("i", "w")).withColumn("e", (F.sum(gap + 40 + 60 * n).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("start")).cast("long"))
+    timed = at.withColumn("s", (F.col("e") - 40 - 60 * n).cast("long"))
+    return timed.withColumn("next_s", F.lead("s").over(w)).drop("start")
+
+
+def _word_lists(lanes):
+    """(video_id, chunk_id, speaker, words, islands, first, last): the words with letters of each chunk, its islands, and the bounds of its words."""
+    spoken = F.col("w").rlike(r"\p{L}")
+    quiet = (F.col("next_s") - F.col("e") >= 300) & ((F.col("i") + F.length("w")) % 5 == 0)
+    island = F.struct((F.col("e") + 50).alias("s"), (F.col("next_s") - 50).alias("e"))
+    return lane_words(lanes).groupBy("video_id", "chunk_id", "speaker").agg(
+        F.collect_list(F.when(spoken, F.struct("i", "s", "e"))).alias("words"), F.array_sort(F.collect_list(F.when(quiet, island))).alias("islands"),
+        F.min(F.when(spoken, F.col("s"))).alias("first"), F.max(F.when(spoken, F.col("e"))).alias("last"),
+    )
+
+
+def _neighbours(lanes, at):
+    """(video_id, speaker, t, prev_end, next_start) of the first start and the last end of each chunk in ``at``, over all words of the speaker.
+
+    Of chunks that lie wholly before or behind t only the bounds matter; words are looked
+    at only in those that t lies in.
+    """
+    chunk, who = ["video_id", "chunk_id"], ["video_id", "speaker"]
+    points = at.select(*who, F.col("chunk_id").alias("own"), F.explode(F.array("first", "last")).alias("t"))
+    outer = intervals.as_of(points, at.select(*who, F.col("first").alias("s"), F.col("last").alias("e")), who)
+    spans = at.select(*who, "chunk_id", F.col("first").alias("rs"), F.col("last").alias("re"))
+    inside = intervals.overlap_join(points.withColumns({"s": F.col("t") - 1, "e": F.col("t") + 1}), spans, who).where("own <> chunk_id")
+    asked = checkpoint(inside.groupBy(*chunk).agg(F.collect_set("t").alias("asked")))
+    words = _word_lists(lanes.join(asked.select(*chunk), chunk, "left_semi")).select(*who, "chunk_id", "words").join(asked, chunk)
+    ends = F.array_max(F.transform(F.filter("words", lambda x: x.e < F.col("t")), lambda x: x.e))
+    starts = F.array_min(F.transform(F.filter("words", lambda x: x.s > F.col("t")), lambda x: x.s))
+    inner = words.select(*who, F.explode("asked").alias("t"), "words").select(*who, "t", ends.alias("prev_end"), starts.alias("next_start"))
+    return outer.unionByName(inner).groupBy(*who, "t").agg(F.max("prev_end").alias("prev_end"), F.min("next_start").alias("next_start"))
+
+
+def cut_chunks(lanes, turns, guard: int = 150):
+    """The chunks that cut_clips works on.
+
+    ``lanes`` are chunks (video_id, speaker, chunk_id, start, tokens) and ``turns`` all
+    turns of their recordings.  Others are the turns of other speakers at the chunk's
+    words, forbidden is what lies within ``guard`` of one; prev_end and next_start are
+    the nearest words of the speaker before and behind the chunk's, of all chunks.
+    """
+    chunk, who = ["video_id", "chunk_id"], ["video_id", "speaker"]
+    lists = _word_lists(lanes)
+    at = checkpoint(lists.where("first IS NOT NULL").select(*who, "chunk_id", "first", "last"))
+    near = _neighbours(lanes, at)
+    before, behind = near.select(*who, F.col("t").alias("first"), "prev_end"), near.select(*who, F.col("t").alias("last"), "next_start")
+    them = turns.select("video_id", F.col("speaker").alias("other"), (F.col("s") - guard).alias("rs"), (F.col("e") + guard).alias("re"))
+    # one ms more at both ends, as a word that touches a region lies in it
+    heard = intervals.overlap_join(at.select(*who, "chunk_id", (F.col("first") - 1).alias("s"), (F.col("last") + 1).alias("e")), them, ["video_id"]).where("speaker <> other")
+    regions = heard.groupBy(*chunk).agg(F.array_sort(F.collect_list(F.struct(F.col("rs").alias("s"), F.col("re").alias("e")))).alias("forbidden"))
+    voices = F.transform("forbidden", lambda x: F.struct((x.s + guard).alias("s"), (x.e - guard).alias("e")))
+    known = at.join(regions, chunk, "left").join(before, [*who, "first"], "left").join(behind, [*who, "last"], "left").select(*chunk, "forbidden", voices.alias("others"), "prev_end", "next_start")
+    full = lists.select(*chunk, "words", "islands").join(known, chunk, "left")
+    return lanes.join(full, chunk, "left").select("video_id", "speaker", "chunk_id", "start", "tokens", "words", "islands", "forbidden", "others", "prev_end", "next_start")
+
+
+def word_cut_segments(spark, directory):
+    """Clips cut anew from the words of the lane transcripts, a chunk at a time, beside the other speakers' turns and the words of neighbouring chunks."""
+    lanes = rows.latest(table(spark, directory, "lane_transcripts"), ["video_id", "chunk_id"], ties=("text", "engine", "start"))
+    named = lanes.where("text IS NOT NULL AND `start` IS NOT NULL AND speaker IS NOT NULL").select("video_id", "speaker", "chunk_id", F.floor(F.col("start") * 1000 + 0.5).alias("start"), T.tokens(F.col("text")).alias("tokens"))
+    return W.cut_clips(cut_chunks(named, turns(spark, directory))).select("video_id", "speaker", "n", "chunk_id", "s", "e", "text", "status", "clipped", "aligned_frac")
 
 
 def script_profile(spark, directory):
