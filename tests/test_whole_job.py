@@ -1,24 +1,18 @@
-"""Queries that have to do the whole job: on small tables of their own, and against SQL without the cuts found in review."""
+"""Queries that have to do the whole job, on small tables of their own."""
 
 import os
 from datetime import datetime
 
 import pytest
 
-from tests.compare import DATA, compare, connect
+from tests.compare import DATA
 from weftline.operators import detectors as D
 from weftline.operators import words as W
 from weftline.plans import core, views as V, word_queries as Q
-from weftline.plans.views import query
 
 data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
-@pytest.fixture(scope="module")
-def con():
-    return connect()
-
-
 def test_union_counts_every_detector(spark, tmp_path):
     rows = [(str(i), "s", "v", "calm", 0.5, d, None, None, datetime(2026, 1, 1)) for i, d in enumerate(["beats", "derived", "reactions", "whispers", "later", None])]
     schema = "cand_id string, seg_id string, video_id string, tag string, score double, detector string, position_s double, evidence string, written_at timestamp"
@@ -27,11 +21,6 @@ def test_union_counts_every_detector(spark, tmp_path):
     assert sorted((r.detector_name, r.n) for r in out) == [(d, 1) for d in sorted(["beats", "derived", "reactions", "whispers", "later", "(none)"])]
 
 
-@data
-def test_union_as_in_sql_over_all_detectors(spark, con):
-    compare(spark, con, core.QUERIES["candidate_union"], query("SELECT coalesce(detector, '(none)') AS detector_name, tag, count(*) AS n FROM cands GROUP BY ALL"))
-
-
 def test_percentiles_stay_within_a_recording(spark):
     """Two recordings whose SPEAKER_00 are not the same person: v has 25 clips, all values of the 19 clips of w are lower."""
     row = lambda v, i, x: (f"{v}{i}", v, "SPEAKER_00", 100 + x, x, 0.1 if i == 10 else 0.8, 1 + x, x, x)
@@ -45,15 +34,6 @@ def test_percentiles_stay_within_a_recording(spark):
     assert hits["whispers"] == {"v10", "w10"}
 
 
-@data
-@pytest.mark.parametrize("name", ["tones", "states", "whispers", "detected"])
-def test_percentiles_as_in_sql_by_recording(spark, con, name):
-    sql = core.ORACLE[name].replace("PARTITION BY speaker", "PARTITION BY video_id, speaker")
-    sql = sql.replace("(SELECT quantile_cont(rms, 0.2) FROM features WHERE rms > 0)", "(SELECT quantile_cont(g.rms, 0.2) FROM features g WHERE g.rms > 0 AND g.video_id = features.video_id)")
-    assert sql != core.ORACLE[name]
-    compare(spark, con, core.QUERIES[name], sql)
-
-
 def lanes_and_turns(spark):
     """Two chunks of p that follow each other closely, and q who speaks in the middle of the first."""
     tokens = ["aaaaa"] * 30

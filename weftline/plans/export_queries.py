@@ -207,13 +207,12 @@ _FLAGS = r"""flags AS (
 _GATE = "CASE " + " ".join(f"WHEN {k} THEN '{k}'" for k, on in X.GATES.items() if on) + " END"
 _TAGS = [
     _PAUSES,
-    f"pass AS (SELECT seg_id, tag, score, position_ms, row_number() OVER () AS n FROM cands WHERE seg_id IS NOT NULL AND tag IS NOT NULL AND ({_LEAST} IS NULL OR coalesce(score, 0) >= {_LEAST}))",
-    "quiet AS (SELECT * FROM pass WHERE tag IN ('pauses', 'silence') AND position_ms IS NOT NULL)",
-    "pair AS (SELECT q.n, q.seg_id, p.tag, p.mid FROM quiet q JOIN pauses p ON p.seg_id = q.seg_id AND abs(p.mid - q.position_ms) < 300)",
-    """tags AS (
-  SELECT q.seg_id, coalesce(m.tag, q.tag) AS tag, q.score, q.position_ms::DOUBLE AS position_ms, false AS derived FROM quiet q LEFT JOIN (SELECT n, arg_max(tag, mid) AS tag FROM pair GROUP BY n) m ON m.n = q.n
-  UNION ALL SELECT seg_id, tag, score, position_ms, false FROM pass WHERE n NOT IN (SELECT n FROM quiet)
-  UNION ALL SELECT seg_id, tag, score, mid, true FROM pauses p WHERE NOT EXISTS (SELECT 1 FROM pair x WHERE x.seg_id = p.seg_id AND x.mid = p.mid))""",
+    f"""pass AS MATERIALIZED (SELECT cand_id AS n, seg_id, tag, score, position_ms, tag IN ('pauses', 'silence') AND position_ms IS NOT NULL AS quiet FROM cands
+             WHERE seg_id IS NOT NULL AND tag IS NOT NULL AND ({_LEAST} IS NULL OR coalesce(score, 0) >= {_LEAST}))""",
+    "pair AS MATERIALIZED (SELECT q.n, q.seg_id, p.tag, p.mid FROM pass q JOIN pauses p ON p.seg_id = q.seg_id AND abs(p.mid - q.position_ms) < 300 WHERE q.quiet)",
+    """tags AS MATERIALIZED (
+  SELECT q.seg_id, coalesce(m.tag, q.tag) AS tag, q.score, q.position_ms::DOUBLE AS position_ms, false AS derived FROM pass q LEFT JOIN (SELECT n, arg_max(tag, mid) AS tag FROM pair GROUP BY n) m ON m.n = q.n
+  UNION ALL SELECT p.seg_id, p.tag, p.score, p.mid, true FROM pauses p ANTI JOIN pair x ON x.seg_id = p.seg_id AND x.mid = p.mid)""",
 ]
 _LINES = [
     *_TAGS,
@@ -244,7 +243,7 @@ _RMS = "frames AS (SELECT clip, (i // {n})::BIGINT AS f, " + _half("sqrt(avg(x *
 
 ORACLE = {
     "threshold_filter": query(f"SELECT cand_id, tag, score FROM cands WHERE {_LEAST} IS NULL OR coalesce(score, 0) >= {_LEAST}"),
-    "candidate_union": query("SELECT detector AS detector_name, tag, count(*) AS n FROM cands WHERE detector IN ('beats', 'laughs', 'states', 'tones') GROUP BY ALL"),
+    "candidate_union": query(f"SELECT coalesce(detector, '{NO_DETECTOR}') AS detector_name, tag, count(*) AS n FROM cands GROUP BY ALL"),
     "export_gate": query(f"SELECT seg_id, {_GATE} AS reason FROM flags", _FLAGS),
     "dropped_histogram": query(f"SELECT reason, count(*) AS n FROM (SELECT {_GATE} AS reason FROM flags) WHERE reason IS NOT NULL GROUP BY reason", _FLAGS),
     "ui_exclusion_reason": query(
@@ -275,11 +274,11 @@ ORACLE = {
               SELECT seg_id, 'transcripts' AS engine, text FROM texts WHERE seg_id IN (SELECT sample_id FROM samples) UNION ALL SELECT sample_id, 'dataset', text_plain FROM samples WHERE sample_id IN (SELECT seg_id FROM texts)) GROUP BY engine"""
     ),
     "speaker_percentile": query(f"SELECT seg_id, {_half('p', 6)} AS p FROM (SELECT seg_id, {_pct('x', 'video_id, speaker')} AS p FROM (SELECT *, e - s AS x FROM spans))"),
-    "whispers": query(f"SELECT seg_id, {_half('1 - voiced', 3)} AS score FROM features WHERE voiced <= 0.25 AND rms >= (SELECT quantile_cont(rms, 0.2) FROM features WHERE rms > 0)"),
+    "whispers": query(f"SELECT seg_id, {_half('1 - voiced', 3)} AS score FROM features WHERE voiced <= 0.25 AND rms >= coalesce((SELECT quantile_cont(g.rms, 0.2) FROM features g WHERE g.rms > 0 AND g.video_id = features.video_id), 0)"),
     "tones": query(
         f"""SELECT seg_id, CASE WHEN ps <= 0.1::DOUBLE THEN 'flatly' ELSE 'cheerfully' END AS tag,
               CASE WHEN ps <= 0.1::DOUBLE THEN {_half("1.0::DOUBLE - ps / 0.1::DOUBLE * 0.5::DOUBLE", 3)} ELSE {_half("0.5::DOUBLE + (pm - 0.9::DOUBLE) / (1 - 0.9::DOUBLE) * 0.5::DOUBLE", 3)} END AS score
-            FROM (SELECT *, {_pct("f0_std", "speaker")} AS ps, {_pct("f0_mean", "speaker")} AS pm, count(*) OVER (PARTITION BY speaker) AS many FROM features)
+            FROM (SELECT *, {_pct("f0_std", "video_id, speaker")} AS ps, {_pct("f0_mean", "video_id, speaker")} AS pm, count(*) OVER (PARTITION BY video_id, speaker) AS many FROM features)
             WHERE many >= 20 AND f0_std IS NOT NULL AND coalesce(voiced, 1) >= 0.25 AND (ps <= 0.1::DOUBLE OR (pm >= 0.9::DOUBLE AND ps >= 0.6::DOUBLE))"""
     ),
     "states": query(
@@ -290,7 +289,7 @@ ORACLE = {
                 CASE WHEN pa >= 0.6::DOUBLE AND pv <= 0.3::DOUBLE THEN (pa - 0.6::DOUBLE) / 0.4::DOUBLE * 0.5::DOUBLE + (0.3::DOUBLE - pv) / 0.3::DOUBLE * 0.5::DOUBLE END,
                 CASE WHEN pa <= 0.3::DOUBLE AND pv <= 0.3::DOUBLE THEN (0.3::DOUBLE - pa) / 0.3::DOUBLE * 0.5::DOUBLE + (0.3::DOUBLE - pv) / 0.3::DOUBLE * 0.5::DOUBLE END,
                 CASE WHEN pa <= 0.3::DOUBLE AND pv >= 0.6::DOUBLE THEN (0.3::DOUBLE - pa) / 0.3::DOUBLE * 0.5::DOUBLE + (pv - 0.6::DOUBLE) / 0.4::DOUBLE * 0.5::DOUBLE END]) AS v
-              FROM (SELECT *, {_pct("arousal", "speaker")} AS pa, {_pct("valence", "speaker")} AS pv, count(*) OVER (PARTITION BY speaker) AS many, quantile_cont(f0_std, 0.75) OVER (PARTITION BY speaker) AS q FROM features) WHERE many >= 20)
+              FROM (SELECT *, {_pct("arousal", "video_id, speaker")} AS pa, {_pct("valence", "video_id, speaker")} AS pv, count(*) OVER (PARTITION BY video_id, speaker) AS many, quantile_cont(f0_std, 0.75) OVER (PARTITION BY video_id, speaker) AS q FROM features) WHERE many >= 20)
             WHERE v IS NOT NULL"""
     ),
     "frame_rms": query("SELECT * FROM frames", _RMS.format(n=16)),
