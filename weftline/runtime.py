@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast or collected after its size was checked.
@@ -40,9 +40,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the folder the session names in spark.checkpoint.dir.
 
     The folder is shared by all executors, so a lost executor loses nothing.  Only
-    a session that names no folder (tests on one machine) gets one of its own.
+    a session that names no folder (tests on one machine) gets one of its own.  What
+    is written there is removed once no DataFrame needs it any more.
     """
     context = settle(df.sparkSession).sparkContext
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
@@ -51,6 +53,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_with(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """checkpoint() of ``df``, and aggregates over its rows that are taken while they are written."""
+    seen = Observation()
+    kept = checkpoint(df.observe(seen, *(c.alias(name) for name, c in figures.items())))
+    return kept, seen.get
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
     return settle(spark).read.parquet(f"{directory}/{name}.parquet")
