@@ -125,3 +125,36 @@ def test_rendezvous_moves_few_when_a_split_is_added(spark):
     rows = keys.select(a.alias("a"), b.alias("b")).collect()
     assert all(r.a == r.b or r.b == "z" for r in rows)
     assert abs(sum(r.b == "z" for r in rows) / 4000 - 0.5) < 0.04
+
+
+def test_one_more_row_moves_no_other_component(spark, many):
+    targets = spark.createDataFrame([("train", 900), ("validation", 50), ("test", 50)], TARGETS)
+    before = splits.assign_splits(spark.createDataFrame(many, SCHEMA), targets, fitted=(5, {"train": 0.8, "validation": 0.1, "test": 0.1})).collect()
+    after = splits.assign_splits(spark.createDataFrame([*many, *[("new-1", "brand new", i) for i in range(500)]], SCHEMA), targets, fitted=(5, {"train": 0.8, "validation": 0.1, "test": 0.1})).collect()
+    of = {r.split_unit: r.assigned_split for r in before}
+    now = {r.split_unit: r.assigned_split for r in after}
+    assert set(now) - set(of) == {"brand new"} and all(now[u] == s for u, s in of.items())
+
+
+def test_weights_are_fitted_around_a_large_component(spark):
+    rng = random.Random(2)
+    units = spark.createDataFrame([(f"u{i}", rng.choice([1, 2, 3])) for i in range(900)] + [("big", 800)], "u string, n long")
+    shares = {"a": 500, "b": 250, "c": 250}
+    salt, weights = splits.fit_weights(units, "u", "n", shares)
+    rows = {r.s: r.n for r in units.groupBy(splits.rendezvous(F.col("u"), weights, salt).alias("s")).agg(F.sum("n").alias("n")).collect()}
+    total = sum(rows.values())
+    assert sum(abs(rows.get(k, 0) - total * w / 1000) for k, w in shares.items()) < 0.04 * total
+    assert splits.fit_weights(units.limit(0), "u", "n", shares)[0] == 0
+
+
+def test_pairs_of_a_component_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(splits, "PAIR_ROWS", 7)
+    rows = [("clip-1", f"w{i:03d}", 0) for i in range(40)] + [("clip-2", "x", 0), ("clip-2", "y", 0), ("z_SPEAKER_00_0001", "only", 0)]
+    assert found(spark, rows) == pairs(rows)
+    members = {r.video_id: r.n_members for r in splits.related_members(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert members == {**{f"w{i:03d}": 40 for i in range(40)}, "x": 2, "y": 2}
+
+
+def test_too_many_splits(spark):
+    with pytest.raises(ValueError):
+        splits.assign_splits(spark.createDataFrame([("clip-1", "a", 1)], SCHEMA), spark.createDataFrame([(f"s{i}", 1) for i in range(splits.MAX_SPLITS + 1)], TARGETS))

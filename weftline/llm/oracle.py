@@ -14,9 +14,8 @@ edge AS (
   SELECT DISTINCT a.v AS a, b.v AS b FROM link a JOIN link b ON a.s = b.s WHERE a.v <> b.v),
 reach(a, b) AS (
   SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
-present AS (SELECT DISTINCT video_id AS v FROM dataset WHERE trim(video_id) <> '')
-SELECT DISTINCT a AS video_id_a, b AS video_id_b FROM reach
-WHERE a < b AND a IN (SELECT v FROM present) AND b IN (SELECT v FROM present)
+present AS (SELECT DISTINCT video_id AS v FROM dataset WHERE trim(video_id) <> ''),
+part AS (SELECT a AS v, least(a, min(b)) AS component FROM reach GROUP BY a)
 """
 
 _P2 = r"""
@@ -60,7 +59,12 @@ def _form(column: str) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "p1_found": _P1,
+    "p1_found": _P1 + "SELECT DISTINCT a AS video_id_a, b AS video_id_b FROM reach WHERE a < b AND a IN (SELECT v FROM present) AND b IN (SELECT v FROM present)",
+    "p1_members": _P1 + """SELECT * FROM (SELECT v AS video_id, component, count(*) OVER (PARTITION BY component) AS n_members FROM part WHERE v IN (SELECT v FROM present)) WHERE n_members > 1""",
+    "p1_parted": _P1
+    + r"""SELECT coalesce(p.component, r.v) AS split_unit, count(*) AS n_rows, 1::BIGINT AS n_splits FROM (
+  SELECT coalesce(CASE WHEN trim(video_id) <> '' THEN video_id END, nullif(trim(regexp_extract(sample_id, '^(.+)_SPEAKER_\d+_\d+$', 1)), ''), (SELECT min(l.v) FROM link l WHERE l.s = d.sample_id)) AS v FROM dataset d) r
+LEFT JOIN part p ON p.v = r.v WHERE r.v IS NOT NULL GROUP BY 1""",
     "p2_found": _P2 + "SELECT h.cand_id FROM hit h JOIN cut c ON h.detector = c.detector AND h.tag = c.tag WHERE h.score >= c.cutoff",
     "p2_cutoffs": _P2
     + """SELECT h.detector, h.tag, any_value(c.keep_permille) AS keep_permille, any_value(c.counted)::BIGINT AS counted, any_value(c.cutoff) AS cutoff, count(*) AS kept

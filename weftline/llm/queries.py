@@ -15,11 +15,21 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return splits.related_pairs(table(spark, directory, "dataset"))
 
 
+def p1_members(spark: SparkSession, directory: str) -> DataFrame:
+    return splits.related_members(table(spark, directory, "dataset"))
+
+
 def p1_splits(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "dataset").select("sample_id", "video_id", "speaker", "written_at")
     return splits.assign_splits(rows, table(spark, directory, "split_targets"))
 
 
+def p1_parted(spark: SparkSession, directory: str) -> DataFrame:
+    """Of each unit that holds a recording: its rows and in how many splits they are, which must be one."""
+    rows = p1_splits(spark, directory).where("split_unit NOT LIKE '\u0001%'")
+    return rows.groupBy("split_unit").agg(F.count("*").alias("n_rows"), F.countDistinct("assigned_split").alias("n_splits"))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return cutoffs.kept_hits(table(spark, directory, "candidates"), table(spark, directory, "keep_targets"))
 
@@ -84,5 +94,5 @@ def p8_makeup(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_cutoffs, p3_found, p3_shares, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_posteriors, p8_makeup)
+    f.__name__: f for f in (p1_found, p1_members, p1_splits, p1_parted, p2_found, p2_cutoffs, p3_found, p3_shares, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_posteriors, p8_makeup)
 }

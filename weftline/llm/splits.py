@@ -8,18 +8,20 @@ rendezvous hashing.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.runtime import SMALL_ROWS, blank, checkpoint, spread_join
+from weftline.runtime import blank, checkpoint, checkpoint_with, spread_join
 
 #: ``{video_id}_{speaker}_{number}``
 CLIP_ID = r"^(.+)_SPEAKER_\d+_\d+$"
 
-#: Components above one HEAVY_PARTS-th of all rows are placed by size; there are fewer than this.
-HEAVY_PARTS = 2000
+#: Most splits.
+MAX_SPLITS = 200
+#: Salts of the hash that are compared, and rounds in which their weights are fitted.
+SALTS, FIT_ROUNDS = 16, 6
+#: Members of a component that are paired with all others in one task.
+PAIR_ROWS = 2000
 
 
 def recording_of_clip(clip: Column) -> Column:
@@ -47,11 +49,13 @@ def recording_graph(rows: DataFrame, video: str = "video_id", sample: str = "sam
 
     Samples of one recording carry no link and drop out before any join.
     """
-    links = _links(rows, video, sample)
+    return _edges(*checkpoint_with(_links(rows, video, sample), n=F.count("*")))
+
+
+def _edges(links: DataFrame, seen: dict) -> DataFrame:
     shared = links.groupBy("__weft_s").agg(F.min("__weft_v").alias("__weft_lo"), F.max("__weft_v").alias("__weft_hi"), F.count("*").alias("__weft_n")).where("__weft_lo < __weft_hi")
-    total = links.select(F.count("*").alias("__weft_t")).scalar()
     return (
-        spread_join(links, shared.drop("__weft_hi"), "__weft_s", "__weft_n", total)
+        spread_join(links, shared.drop("__weft_hi"), "__weft_s", "__weft_n", seen["n"])
         .where("__weft_v <> __weft_lo")
         .select(F.col("__weft_v").alias("a"), F.col("__weft_lo").alias("b"))
         .distinct()
@@ -70,22 +74,19 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    clusters = checkpoint(both.unionByName(both.select("a", F.col("a").alias("b"))).distinct())
-
-    def state(df: DataFrame) -> tuple:
-        h = F.xxhash64("a", "b")
-        return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 30))).first())
-
-    now = state(clusters)
+    h = F.xxhash64("a", "b")
+    state = {"n": F.count("*"), "x": F.bit_xor(h), "y": F.sum(F.shiftright(h, 30))}
+    clusters, now = checkpoint_with(both.unionByName(both.select("a", F.col("a").alias("b"))).distinct(), **state)
     for _ in range(max_rounds):
         lowest = clusters.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        sent = spread_join(clusters, lowest, "a", "n", now[0])
-        clusters = checkpoint(
+        sent = spread_join(clusters, lowest, "a", "n", now["n"])
+        before = now
+        clusters, now = checkpoint_with(
             sent.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
             .select("x.a", "x.b")
-            .distinct()
+            .distinct(),
+            **state,
         )
-        before, now = now, state(clusters)
         if now == before:
             return clusters.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     raise RuntimeError(f"components not stable after {max_rounds} rounds")
@@ -96,64 +97,103 @@ def related_recordings(rows: DataFrame, video: str = "video_id", sample: str = "
     return hash_to_min(recording_graph(rows, video, sample))
 
 
+def related_members(rows: DataFrame, video: str = "video_id", sample: str = "sample_id") -> DataFrame:
+    """(video_id, component, n_members): the recordings in ``video`` that are related to another of them, what they belong to, and how many belong to it.
+
+    Recordings named only inside clip ids link others and may name the component, but are no members.
+    """
+    present = rows.select(F.col(video).alias("node")).where(~blank(F.col(video))).distinct()
+    member = checkpoint(related_recordings(rows, video, sample).join(present, "node", "left_semi"))
+    sizes = member.groupBy("component").agg(F.count("*").alias("n_members"), F.count("*").alias("__weft_n")).where("n_members > 1")
+    return spread_join(member, sizes, "component", "__weft_n", F.lit(member.count())).select(F.col("node").alias("video_id"), "component", "n_members")
+
+
 def related_pairs(rows: DataFrame, video: str = "video_id", sample: str = "sample_id") -> DataFrame:
     """All pairs (video_id_a, video_id_b) of recordings in ``video`` that must stay together, lower id first.
 
     The pairs themselves are the wanted result, so their number is that of the
-    components' pairs.  Recordings named only inside clip ids link others but are in no pair.
+    components' pairs.  The first sides of a large component are dealt out to parts,
+    each of which meets all second sides, so that no task pairs a whole component.
     """
-    v = F.col(video)
-    present = rows.select(v.alias("node")).where(~blank(v)).distinct()
-    member = related_recordings(rows, video, sample).join(present, "node", "left_semi")
-    a = member.select("component", F.col("node").alias("video_id_a"))
-    b = member.select("component", F.col("node").alias("video_id_b"))
-    return a.join(b, "component").where("video_id_a < video_id_b").select("video_id_a", "video_id_b")
-
-
-def _place(heavy: list[tuple[str, int]], targets: dict[str, int], total: int) -> tuple[dict[str, str], dict[str, float]]:
-    """Give heavy components, largest first, to the split that lacks most; return that and what each split still lacks."""
-    weight = sum(targets.values())
-    lack = [(-total * w / weight, name) for name, w in sorted(targets.items())]
-    heapq.heapify(lack)
-    placed = {}
-    for component, n in sorted(heavy, key=lambda x: (-x[1], x[0])):
-        left, name = heapq.heappop(lack)
-        placed[component] = name
-        heapq.heappush(lack, (left + n, name))
-    return placed, {name: max(0.0, -left) for left, name in lack}
-
-
-def rendezvous(key: Column, weights: dict[str, float]) -> Column:
-    """The split of ``key`` by weighted rendezvous hashing: the least -ln(u)/w over splits, u in (0, 1) hashed from key and split."""
-    usable = {n: w for n, w in weights.items() if w > 0} or dict.fromkeys(weights, 1.0)
+    parts = F.ceil(F.col("n_members") / PAIR_ROWS).cast("int")
+    member = related_members(rows, video, sample).withColumn("__weft_parts", parts)
+    a = member.select("component", F.pmod(F.xxhash64("video_id"), "__weft_parts").cast("int").alias("__weft_part"), F.col("video_id").alias("video_id_a"))
+    b = member.select("component", F.explode(F.sequence(F.lit(0), F.col("__weft_parts") - 1)).alias("__weft_part"), F.col("video_id").alias("video_id_b"))
+    return a.join(b, ["component", "__weft_part"]).where("video_id_a < video_id_b").select("video_id_a", "video_id_b")
+
+
+def rendezvous(key: Column, weights: dict[str, float | Column], salt: Column | int = 0) -> Column:
+    """The split of ``key`` by weighted rendezvous hashing: the least -ln(u)/w over splits, u in (0, 1) hashed from key, split and salt."""
+    salt = F.lit(salt) if isinstance(salt, int) else salt
     scored = [
-        F.struct((-F.log((F.shiftrightunsigned(F.xxhash64(key, F.lit(n)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(w))).alias("x"), F.lit(n).alias("n"))
-        for n, w in sorted(usable.items())
+        F.struct((-F.log((F.shiftrightunsigned(F.xxhash64(key, F.lit(n), salt), 11) + F.lit(0.5)) / F.lit(float(1 << 53))) / (w if isinstance(w, Column) else F.lit(float(w)))).alias("x"), F.lit(n).alias("n"))
+        for n, w in sorted(weights.items())
     ]
     return F.array_min(F.array(*scored))["n"]
 
 
+def fit_weights(units: DataFrame, unit: str, size: str, shares: dict[str, int], salts: int = SALTS, rounds: int = FIT_ROUNDS) -> tuple[int, dict[str, float]]:
+    """The salt and the weights at which rendezvous hashing of ``units`` comes nearest to the shares.
+
+    Weights are at first the shares.  A large component fills much of its split, and
+    the others would still take their part of it; so each round counts the rows that
+    every salt gives to every split, and moves the salt's weights by what is wanted
+    against what is there.  Units stay where they are: only salts x splits sums come
+    to the driver.  A component above its split's share leaves a distance that
+    nothing can close; the nearest is taken all the same.
+    """
+    weight = sum(shares.values())
+    weights = [dict(shares) for _ in range(salts)]
+    best, nearest = (0, {n: float(w) for n, w in shares.items()}), None
+    salted = units.select(unit, size, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__weft_salt"))
+    for _ in range(rounds):
+        of_salt = {n: F.get(F.array(*(F.lit(float(w[n])) for w in weights)), F.col("__weft_salt")) for n in shares}
+        got = salted.groupBy("__weft_salt", rendezvous(F.col(unit), of_salt, F.col("__weft_salt")).alias("__weft_to")).agg(F.sum(size)).collect()
+        rows = [dict.fromkeys(shares, 0) for _ in range(salts)]
+        for salt, name, n in got:
+            rows[salt][name] = int(n)
+        total = sum(rows[0].values())
+        for salt, has in enumerate(rows):
+            wanted = {n: total * w / weight for n, w in shares.items()}
+            off = sum(abs(has[n] - wanted[n]) for n in shares)
+            if nearest is None or off < nearest:
+                nearest, best = off, (salt, {n: float(w) for n, w in weights[salt].items()})
+            moved = {n: weights[salt][n] * (wanted[n] + 0.5) / (has[n] + 0.5) for n in shares}
+            weights[salt] = {n: max(w / sum(moved.values()), 1e-6) for n, w in moved.items()}
+        if not nearest:
+            break
+    return best
+
+
 def assign_splits(
-    rows: DataFrame, targets: DataFrame, video: str = "video_id", sample: str = "sample_id", split: str = "assigned_split", unit: str = "split_unit"
+    rows: DataFrame, targets: DataFrame, video: str = "video_id", sample: str = "sample_id", split: str = "assigned_split", unit: str = "split_unit",
+    fitted: tuple[int, dict[str, float]] | None = None,
 ) -> DataFrame:
     """``rows`` with the columns ``unit`` (what must stay together) and ``split``, near the shares in ``targets`` (split_name, permille).
 
-    No two related rows get different splits.  Components larger than 1/HEAVY_PARTS
-    of all rows (fewer than HEAVY_PARTS) are placed by size into the split that
-    lacks most; weighted rendezvous hashing, with weights of what is then lacking,
-    gives the others.  A row without recording belongs to its sample's component; a
+    No two related rows get different splits.  Weighted rendezvous hashing gives
+    every component its split, whatever its size: with a given salt and weights
+    (``fitted``) the split of a component depends on nothing else, so new rows move
+    no other component.  Where they aren't given they are fitted to the rows
+    (fit_weights); keep them to keep splits stable.
+
+    A row without recording belongs to its sample's component; a
     row without both is a unit of its own (equal rows together).  Repeated rows stay
     repeated, columns of ``rows`` are kept, columns named like the results are
-    replaced.  Targets without a name or a positive share are ignored; without any
-    the split is null.  An empty table gives an empty table.
+    replaced.  Targets without a name or a positive share are ignored, more than
+    MAX_SPLITS are an error; without any the split is null.  An empty table gives an
+    empty table.
     """
-    wanted = targets.where("split_name IS NOT NULL AND permille > 0").groupBy("split_name").agg(F.sum("permille")).limit(SMALL_ROWS).collect()
+    wanted = targets.where("split_name IS NOT NULL AND permille > 0").groupBy("split_name").agg(F.sum("permille")).limit(MAX_SPLITS + 1).collect()
+    if len(wanted) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
     shares = {name: int(w) for name, w in wanted}
     data = rows.drop(split, unit)
     v, s = F.col(video), F.col(sample)
     keyed = data.withColumn("__weft_v", F.coalesce(F.when(~blank(v), v), recording_of_clip(s)))
 
-    by_sample = _links(data, video, sample).groupBy("__weft_s").agg(F.min("__weft_v").alias("__weft_lo"))
+    links, seen = checkpoint_with(_links(data, video, sample), n=F.count("*"))
+    by_sample = links.groupBy("__weft_s").agg(F.min("__weft_v").alias("__weft_lo"))
     orphan = keyed.where("__weft_v IS NULL").drop("__weft_v")
     everything = F.to_json(F.struct(*(F.col(f"`{c}`") for c in data.columns))) if data.columns else F.lit("")
     rescued = orphan.withColumn("__weft_s", s).join(by_sample, "__weft_s", "left").drop("__weft_s")
@@ -161,18 +201,13 @@ def assign_splits(
     keyed = keyed.where("__weft_v IS NOT NULL").unionByName(rescued)
 
     sizes = keyed.groupBy("__weft_v").agg(F.count("*").alias("__weft_n"))
-    component = related_recordings(data, video, sample).withColumnRenamed("node", "__weft_v")
-    units = checkpoint(sizes.join(component, "__weft_v", "left").withColumn(unit, F.coalesce("component", "__weft_v")).drop("component"))
-    whole = units.groupBy(unit).agg(F.sum("__weft_n").alias("__weft_u"))
-    total = units.agg(F.sum("__weft_n")).first()[0] or 0
+    component = hash_to_min(_edges(links, seen)).withColumnRenamed("node", "__weft_v")
+    units, seen = checkpoint_with(sizes.join(component, "__weft_v", "left").withColumn(unit, F.coalesce("component", "__weft_v")).drop("component"), total=F.sum("__weft_n"))
     if not shares:
-        placed, lacking, choice = {}, {}, F.lit(None).cast("string")
+        choice = F.lit(None).cast("string")
     else:
-        heavy = [tuple(x) for x in whole.where(F.col("__weft_u") * HEAVY_PARTS > total).collect()]
-        placed, lacking = _place(heavy, shares, total)
-        choice = rendezvous(F.col(unit), lacking)
+        whole = units.groupBy(unit).agg(F.sum("__weft_n").alias("__weft_u"))
+        salt, weights = fitted or fit_weights(whole, unit, "__weft_u", shares)
+        choice = rendezvous(F.col(unit), weights, salt)
     chosen = units.withColumn(split, choice)
-    if placed:
-        fixed = data.sparkSession.createDataFrame(list(placed.items()), f"`{unit}` string, __weft_fixed string")
-        chosen = chosen.join(F.broadcast(fixed), unit, "left").withColumn(split, F.coalesce("__weft_fixed", split)).drop("__weft_fixed")
-    return spread_join(keyed, chosen, "__weft_v", "__weft_n", total).select(*(F.col(f"`{c}`") for c in data.columns), unit, split)
+    return spread_join(keyed, chosen, "__weft_v", "__weft_n", seen["total"] or 0).select(*(F.col(f"`{c}`") for c in data.columns), unit, split)
