@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +46,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     a session that names no folder (tests on one machine) gets one of its own.  What
     is written there is removed once no DataFrame needs it any more.
     """
-    context = settle(df.sparkSession).sparkContext
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = settle(spark).sparkContext
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+@contextlib.contextmanager
+def shared_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own beside the checkpoints, which all executors share; it is removed at the end."""
+    folder = f"{_checkpoint_folder(spark)}/weftline-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint_with(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
