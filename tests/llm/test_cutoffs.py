@@ -2,6 +2,8 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from weftline.llm import cutoffs
 
 CANDIDATES = "cand_id long, detector string, tag string, score double, written_at timestamp, other string"
@@ -88,3 +90,47 @@ def test_stored_tree_survives_a_batch_written_twice(spark, tmp_path):
     for d, k in (("a", 250), ("b", 500)):
         mine = sorted((s for x, _, s in rows if x == d), reverse=True)
         assert cut[d] == mine[max(1, -(-k * len(mine) // 1000)) - 1]
+
+
+def test_kept_tree_of_batches_with_rewritten_and_repeated_rows(spark, tmp_path):
+    """Three batches, of which the second rewrites rows of the first, brings a late row and runs twice."""
+    rng = random.Random(8)
+    row = lambda c, day: (c, rng.choice(["a", "b"]), "x", rng.choice([round(rng.random(), 2), rng.random()]), T0 + timedelta(days=day), "")
+    batches = [[row(i, 1) for i in range(200)], [*[row(i, 2) for i in range(100, 250)], row(5, 0)], [row(i, 3) for i in range(240, 300)]]
+    batches[1] += batches[1][:20]
+    store = cutoffs.TreeStore(spark, str(tmp_path / "tree"))
+    known = spark.createDataFrame([], CANDIDATES)
+    for number, rows in ((0, batches[0]), (1, batches[1]), (1, batches[1]), (2, batches[2])):
+        so_far = [r for n in range(number) for r in batches[n]]
+        last = {}
+        for r in so_far:
+            if r[0] not in last or r[4] >= last[r[0]][4]:
+                last[r[0]] = r
+        known = spark.createDataFrame(list(last.values()), CANDIDATES)
+        store.add(number, cutoffs.changes(known, spark.createDataFrame(rows, CANDIDATES)), weight="w")
+    rows = [r for b in batches for r in b]
+    targets = [("a", "x", 300), ("b", "x", 500)]
+    df, goal = spark.createDataFrame(rows, CANDIDATES), spark.createDataFrame(targets, TARGETS)
+    assert sorted(r[0] for r in cutoffs.kept_hits(df, goal, store.tree()).collect()) == brute(rows, targets)
+    with_tree, without = cutoffs.cutoffs(df, goal, store.tree())[1], cutoffs.cutoffs(df, goal)[1]
+    assert sorted(map(tuple, with_tree.collect())) == sorted(map(tuple, without.collect())) != []
+
+
+def test_tree_of_other_hits_is_an_error(spark, tmp_path):
+    store = cutoffs.TreeStore(spark, str(tmp_path / "tree"))
+    store.add(0, spark.createDataFrame([("a", "x", 0.5)] * 3, "detector string, tag string, score double"))
+    with pytest.raises(ValueError):
+        cutoffs.kept_hits(spark.createDataFrame([(1, "a", "x", 0.5, T0, "")], CANDIDATES), spark.createDataFrame([("a", "x", 500)], TARGETS), store.tree())
+
+
+def test_a_leaf_of_many_scores_is_cut_finer(spark, monkeypatch):
+    monkeypatch.setattr(cutoffs, "LEAF_SCORES", 3)
+    close = [(i, "a", "x", 0.3 + i * 2**-45, T0, "") for i in range(60)] + [(100 + i, "b", "x", 1.0 - i * 2**-53, T0, "") for i in range(40)]
+    tiny = [(200 + i, "c", "x", (i % 9 + 1) * 5e-324, T0, "") for i in range(30)] + [(300 + i, "d", "x", 1.0, T0, "") for i in range(9)]
+    targets = [(d, "x", k) for d, k in zip("abcd", (333, 500, 700, 100))]
+    assert run(spark, close + tiny, targets) == brute(close + tiny, targets)
+
+
+def test_rows_are_taken_back_across_months(spark):
+    rows = [(i % 30, "a", "x", (i * 37 % 101) / 100, T0 + timedelta(days=9 * i) if i % 7 else None, "") for i in range(90)] + [(3, "a", "x", None, T0 + timedelta(days=9999), "")]
+    assert run(spark, rows, [("a", "x", 400)]) == brute(rows, [("a", "x", 400)])
