@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Characters that show nothing.
-IGNORED = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff"
+# Characters that show nothing: marks of direction and of breaks, joiners, fillers.
+IGNORED = "\u115f\u1160\u3164\uffa0\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff"
 # White space of all kinds, each a gap between words.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Letters of other scripts drawn like Latin ones.
@@ -28,6 +28,10 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "µ": "μ", "ɑ": "a", "ɡ": "g", "օ": "o", "ս": "u", "հ": "h",
     "‐": "-", "‑": "-", "․": ".", "‥": "..", "…": "...",
+    "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
 }
 # Devanagari sequences drawn like one letter or sign.
 SEQUENCES = {
@@ -36,6 +40,8 @@ SEQUENCES = {
     "एॅ": "ऍ", "एॆ": "ऎ", "एे": "ऐ",
     "ाॅ": "ॉ", "ाॆ": "ॊ", "ाे": "ो", "ाै": "ौ",
 }
+#: Characters that shape what they follow or join, and show nothing elsewhere: joiners, emoji style, flag letters.
+_JOINERS, _STYLES, _FLAGS = "\u200c\u200d", "\ufe0e\ufe0f", "\U000e0020-\U000e007f"
 #: Devanagari: the signs that may end such a sequence.
 _SIGNS = "ाॅ-ौ"
 
@@ -77,22 +83,26 @@ def tables() -> dict:
                 composed.add(p)
                 if len(parts) == 2:
                     before.setdefault(parts[1], set()).add(parts[0])
-        elif kind in ("<wide", "<narrow") or kind == "<compat" and (0xFB00 <= p <= 0xFB17 or 0x2160 <= p <= 0x217F):
+        elif (
+            kind in ("<wide", "<narrow")
+            or kind in ("<initial", "<medial", "<final", "<isolated") and not {0x20, 0x640} & set(parts)
+            or kind == "<compat" and (0xFB00 <= p <= 0xFB17 or 0x2160 <= p <= 0x217F or 0x2E80 <= p < 0x2FE0)
+        ):
             fold[p] = "".join(map(chr, parts))
-    fold |= {ord(a): b for a, b in LOOKALIKES.items()}
+    fold = {p: x for p, x in fold.items() if chr(p) not in IGNORED} | {ord(a): b for a, b in LOOKALIKES.items()}
     for base, like in LOOKALIKES.items():  # an accented look-alike
         for p in composed:
             if ud.normalize("NFD", chr(p))[0] == base:
                 never.add(p)
     plain = {p for p in marks if ud.combining(chr(p)) not in (7, 9)}
     high, low = ({p for p in marks if ud.combining(chr(p)) == k} for k in (9, 7))
-    single = never | set(fold) | set(map(ord, IGNORED + SPACES))
+    single = never | set(fold) | set(map(ord, IGNORED + SPACES + _STYLES)) | set(range(0xE0020, 0xE0080))
     pairs = [rf"[{_class(a)}]\x{{{b:x}}}" for b, a in sorted(before.items())]
     pairs += [rf"[\x{{1100}}-\x{{1112}}][\x{{1161}}-\x{{1175}}]|[\x{{ac00}}-\x{{d7a3}}][\x{{11a8}}-\x{{11c2}}]"]
     pairs += [rf"[{_class(composed)}][{_class(plain)}]", rf"[{_class(plain)}][{_class(marks)}]", rf"[{_class(marks)}][{_class(plain)}]", rf"[{_class(high)}][{_class(low)}]"]
     pairs += ["|".join(f"\\x{{{ord(a[0]):x}}}\\x{{{ord(a[1]):x}}}" for a in SEQUENCES)]
     check = rf"[{_class(single)}]|  |^ | $|(?:[{_class(set(before) | plain | high | set(range(0x93E, 0x94D)))}\x{{11a8}}-\x{{11c2}}\x{{1161}}-\x{{1175}}](?<={'|'.join(f'(?:{x})' for x in pairs)}))"
-    drop = dict.fromkeys(map(ord, IGNORED))
+    drop = dict.fromkeys(ord(c) for c in IGNORED if c not in _JOINERS)
     gaps = dict.fromkeys(map(ord, SPACES), " ")
     python = "".join(f"{chr(p)}" if chr(p) not in "\\]^-" else "\\" + chr(p) for p in sorted(never | set(fold) | marks | set(before)))
     return {"fold": fold, "check": check, "first": drop | gaps, "segment": re.compile(f".?[{python}{_SIGNS}ᅡ-ᅵᆨ-ᇂ]+", re.S)}
@@ -101,15 +111,28 @@ def tables() -> dict:
 #: The quick check's first step: ASCII and Devanagari without any sequence that may change.  All but such texts take the full check.
 _PLAIN = rf"[^ -~\x{{900}}-\x{{950}}\x{{955}}-\x{{957}}\x{{960}}-\x{{97f}}]|  |^ | $|[{''.join(sorted({x[0] for x in SEQUENCES}))}][{_SIGNS}]|[\x{{928}}\x{{930}}\x{{933}}]\x{{93c}}|\x{{94d}}\x{{93c}}"
 
-_JOINER = re.compile("([\u200c\u200d])")
+_SHAPING = re.compile(f"[{_JOINERS}{_STYLES}{_FLAGS}]+")
 _SEQUENCE = re.compile("|".join(SEQUENCES))
-#: Stand-ins for joiners that stay while the others are dropped.
-_KEPT = {"\u200d": "\ue0f1", "\u200c": "\ue0f0"}
 
 
-def _joined(before: str) -> bool:
-    """Whether a joiner after this character can be seen: it shapes a conjunct or an emoji."""
-    return ud.combining(before) == 9 or before == "\ufe0f" or ud.category(before) in ("So", "Sk")
+def _seen(before: str, c: str) -> bool:
+    """Whether a shaping character can be seen after this one: it shapes a conjunct, an emoji or a flag."""
+    symbol = ud.category(before) in ("So", "Sk", "Sm") or before in "0123456789#*\u203c\u2049"
+    if c in _STYLES:
+        return symbol
+    if c in _JOINERS:
+        return ud.combining(before) == 9 or before == "\ufe0f" or symbol and before not in "0123456789#*"
+    return before == "\U0001f3f4" or "\U000e0020" <= before <= "\U000e007f"
+
+
+def _shaped(found: re.Match) -> str:
+    """The shaping characters of a run that can be seen, each judged by what is left before it."""
+    kept, before = "", found.string[found.start() - 1] if found.start() else ""
+    for c in found[0]:
+        if before and _seen(before, c):
+            kept += c
+            before = c
+    return kept
 
 
 @functools.lru_cache(1 << 16)
@@ -127,15 +150,14 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     t = tables()
-    if "\u200d" in text or "\u200c" in text:
-        first, *others = _JOINER.split(text)
-        for joiner, rest in zip(others[::2], others[1::2]):
-            first += (_KEPT[joiner] if first and _joined(first[-1]) else "") + rest
-        text = first
-    text = text.translate(t["first"])
-    for joiner, stand_in in _KEPT.items():
-        text = text.replace(stand_in, joiner)
-    return " ".join(x for x in t["segment"].sub(lambda m: _segment(m[0]), text).split(" ") if x)
+    settled = lambda x: " ".join(w for w in t["segment"].sub(lambda m: _segment(m[0]), x).split(" ") if w)
+    text = settled(text.translate(t["first"]))
+    while _SHAPING.search(text):
+        shaped = _SHAPING.sub(_shaped, text)
+        if shaped == text:
+            break
+        text = settled(shaped)
+    return text
 
 
 @F.pandas_udf(StringType())
