@@ -18,7 +18,7 @@ def test_suffix_array_and_lcp_against_sorting():
     for letters in (1, 2, 3, 20):
         texts = [[rng.randrange(letters) for _ in range(rng.randrange(1, 60))] for _ in range(12)]
         word, doc, end = arrays(texts)
-        order, lcp = repetition.suffix_array(word, doc, end)
+        order, lcp, _ = repetition.suffix_array(word, doc, end)
         want = sorted(range(len(word)), key=lambda i: (doc[i], list(word[i : end[i]])))
         assert order.tolist() == want
         for k in range(1, len(order)):
@@ -98,3 +98,34 @@ def test_found_once_from_repeated_rows(spark):
     lane = spark.createDataFrame([("c1", "v", "no no no no"), (None, None, None)], "chunk_id string, video_id string, text string")
     got = sorted(map(tuple, repetition.repetitive_texts(t, lane).collect()))
     assert got == [("lane_transcripts", "v", "c1"), ("transcripts", "v", "s1")]
+
+
+def brute_runs(t):
+    out = [False] * len(t)
+    for p in range(1, len(t) // 3 + 1):
+        for i in range(len(t) - 3 * p + 1):
+            if t[i : i + 2 * p] == t[i + p : i + 3 * p]:
+                out[i + p : i + 3 * p] = [True] * (2 * p)
+    return out
+
+
+def test_runs_against_brute_force():
+    rng = random.Random(7)
+    for letters in (1, 2, 3):
+        texts = [[rng.randrange(letters) for _ in range(rng.randrange(1, 50))] for _ in range(30)] + [[0, 1, 2, 1, 0] * 4 + [9], [5, 6] * 3, list(range(30)) * 3]
+        assert repetition.runs(*arrays(texts)).tolist() == [x for t in texts for x in brute_runs(t)]
+
+
+def test_repetition_within_words_of_any_length_and_script(spark):
+    unit = "".join(chr(97 + i * 7 % 26) for i in range(26)) + "zyxwv"
+    chinese = "我们今天讨论的是城市交通问题"
+    got = [s for s, _ in shares(spark, ["aaaa", "hmmm", unit * 4, unit * 2, chinese * 5, chinese, "1000000 121212", "x" * 30 + "1" + "x" * 30, "今天天气很好 今天我们走吧", "哈哈哈哈"])]
+    assert got == [0.75, 0.5, 0.75, 0.0, 0.8, 0.0, 0.0, round(58 / 61, 3), 0.0, 0.75]
+
+
+def test_limit_of_the_longest_repeat(spark):
+    words = " ".join(f"w{i}" for i in range(100))
+    t = spark.createDataFrame([("s1", "v", words + " one two three four " + "x y z " + "one two three four"), ("s2", "v", words)], "seg_id string, video_id string, text string")
+    lane = spark.createDataFrame([], "chunk_id string, video_id string, text string")
+    assert [r.rec_id for r in repetition.repetitive_texts(t, lane, longest=4).collect()] == ["s1"]
+    assert repetition.repetitive_texts(t, lane, longest=5).count() == 0

@@ -39,6 +39,34 @@ cut AS (
 """
 
 
+# Windows of three words with an earlier like, words and pairs behind themselves, and units three times in a row within a word.
+_P3 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, * FROM (
+    SELECT 'transcripts' AS tbl, video_id, seg_id AS rec_id, text FROM transcripts UNION ALL SELECT 'lane_transcripts', video_id, chunk_id, text FROM lane_transcripts)),
+listed AS MATERIALIZED (SELECT d, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '\p{Cf}+', '', 'g')), '[\p{L}\p{M}\p{N}]+') AS l FROM doc),
+word AS MATERIALIZED (SELECT d, unnest(range(len(l))) AS i, unnest(l) AS w FROM listed),
+near AS (SELECT *, lag(w) OVER o AS b1, lag(w, 2) OVER o AS b2, lag(w, 3) OVER o AS b3, lead(w) OVER o AS n1, lead(w, 2) OVER o AS n2 FROM word WINDOW o AS (PARTITION BY d ORDER BY i)),
+later AS (
+  SELECT d, i FROM (SELECT d, i, row_number() OVER (PARTITION BY d, w, n1, n2 ORDER BY i) AS k FROM near WHERE n2 IS NOT NULL) WHERE k > 1),
+covered AS (
+  SELECT d, i + j AS i FROM later, (SELECT unnest(range(3)) AS j)
+  UNION SELECT d, i FROM near WHERE w = b1
+  UNION SELECT d, i FROM near WHERE w = b2 AND n1 = b1
+  UNION SELECT d, i FROM near WHERE w = b2 AND b1 = b3),
+tested AS (SELECT w, length(w) AS m FROM (SELECT DISTINCT w FROM word) WHERE length(w) >= 3),
+cut AS (SELECT w, p, unnest(range(1, m - 3 * p + 2)) AS a FROM (SELECT w, m, unnest(range(1, m // 3 + 1)) AS p FROM tested)),
+run AS (
+  SELECT DISTINCT w, unnest(range(a + p, a + 3 * p)) AS pos FROM cut
+  WHERE substr(w, a, 2 * p) = substr(w, a + p, 2 * p) AND NOT regexp_matches(substr(w, a, 3 * p), '\p{N}')),
+gain AS (SELECT w, count(*) AS g FROM run WHERE NOT regexp_matches(substr(w, pos, 1), '\p{M}') GROUP BY w),
+share AS (
+  SELECT x.d, sum(CASE WHEN c.d IS NOT NULL THEN x.n ELSE coalesce(g.g, 0) END) / greatest(1, sum(x.n)) AS share
+  FROM (SELECT d, i, w, length(regexp_replace(w, '\p{M}+', '', 'g')) AS n FROM word) x LEFT JOIN covered c ON c.d = x.d AND c.i = x.i LEFT JOIN gain g ON g.w = x.w GROUP BY x.d)
+SELECT DISTINCT tbl, video_id, rec_id FROM doc JOIN share ON share.d = doc.d WHERE share >= 0.4::DOUBLE
+"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -75,6 +103,7 @@ LEFT JOIN part p ON p.v = r.v WHERE r.v IS NOT NULL GROUP BY 1""",
     "p2_cutoffs": _P2
     + """SELECT h.detector, h.tag, any_value(c.keep_permille) AS keep_permille, any_value(c.counted)::BIGINT AS counted, any_value(c.cutoff) AS cutoff, count(*) AS kept
 FROM hit h JOIN cut c ON h.detector = c.detector AND h.tag = c.tag WHERE h.score >= c.cutoff GROUP BY h.detector, h.tag""",
+    "p3_found": _P3,
     "p4_found": f"""
 SELECT DISTINCT t.seg_id FROM transcripts t JOIN dataset d ON d.sample_id = t.seg_id
 WHERE t.text <> d.text_plain AND {_form("t.text")} = {_form("d.text_plain")}""",
