@@ -25,20 +25,27 @@ LETTERS_A_WORD = 3
 #: Words of whole texts sorted together in a worker; a longer text is sorted alone.
 BLOCK_WORDS = 1 << 18
 
-# Scripts written without spaces, whose letters are taken one by one.
-_SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
-_WORD = rf"[\p{{L}}&&[{_SPACELESS}]]\p{{M}}*|[\p{{L}}\p{{M}}\p{{N}}&&[^{_SPACELESS}]]+"
-#: What shows in a text that has a unit three times in a row within a word: a short one, or a word long enough for a longer one.
-_RUN = r"([\p{L}\p{M}]{1,24}?)\1\1|[\p{L}\p{M}]{73}"
+# Scripts written without spaces, whose letters are taken one by one: Thai, Lao, Tibetan, Burmese, Khmer, Kana, Han.
+_SPACELESS = r"\x{e00}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+_WORD = r"[\p{L}\p{M}\p{N}]+"
+_PART = rf"[\p{{L}}&&[{_SPACELESS}]]\p{{M}}*|[\p{{L}}\p{{M}}\p{{N}}&&[^{_SPACELESS}]]+"
+#: A short unit three times in a row within a word; longer units need longer words than LONG_WORD.
+_RUN, LONG_WORD = r"([\p{L}\p{M}]{1,24}?)\1\1", 72
 
 
 def _letters(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"\p{M}+", ""))
 
 
-def words_of(text: Column) -> Column:
-    """Array of lower-case words, or letters of scripts without spaces; invisible characters don't part words."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, r"\p{Cf}+", "")), F.lit(_WORD), F.lit(0))
+def plain(text: Column) -> Column:
+    """Lower case without invisible characters, which don't part words."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Cf}+", ""))
+
+
+def words_of(plain_text: Column, spaceless: Column) -> Column:
+    """Array of words, in ``spaceless`` texts of letters of scripts without spaces and of other words."""
+    found = lambda pattern: F.regexp_extract_all(plain_text, F.lit(pattern), F.lit(0))
+    return F.when(spaceless, found(_PART)).otherwise(found(_WORD))
 
 
 def common(levels: list[np.ndarray], end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,16 +228,17 @@ def repetition(rows: DataFrame, text: str = "text", share: str = "repeated_share
     the results are replaced.
     """
     measure = F.arrow_udf(_measure, "struct<share: double, longest: int>")
-    known = F.coalesce(F.col(text), F.lit(""))
-    odd = known.rlike(f"[{_SPACELESS}]")
+    t = F.col("__weft_t")
     return (
         rows.drop(share, longest)
-        .withColumn("__weft_w", words_of(known))
-        .withColumn("__weft_parts", F.when(odd, F.transform("__weft_w", lambda x: x.rlike(f"^[{_SPACELESS}]"))))
-        .withColumn("__weft_runs", F.when(F.lower(F.regexp_replace(known, r"\p{Cf}+", "")).rlike(_RUN), F.transform("__weft_w", lambda x: F.when(x.rlike(_RUN), x))))
+        .withColumn("__weft_t", plain(F.col(text)))
+        .withColumn("__weft_odd", t.rlike(f"[{_SPACELESS}]"))
+        .withColumn("__weft_w", words_of(t, F.col("__weft_odd")))
+        .withColumn("__weft_parts", F.when(F.col("__weft_odd"), F.transform("__weft_w", lambda x: x.rlike(f"^[{_SPACELESS}]"))))
+        .withColumn("__weft_runs", F.when(t.rlike(_RUN) | F.exists("__weft_w", lambda x: F.length(x) > LONG_WORD), F.transform("__weft_w", lambda x: F.when((F.length(x) > LONG_WORD) | x.rlike(_RUN), x))))
         .withColumn("__weft_m", measure(F.transform("__weft_w", lambda x: F.xxhash64(x)), F.transform("__weft_w", _letters), "__weft_parts", "__weft_runs"))
         .withColumns({share: F.col("__weft_m.share"), longest: F.col("__weft_m.longest")})
-        .drop("__weft_w", "__weft_parts", "__weft_runs", "__weft_m")
+        .drop("__weft_t", "__weft_odd", "__weft_w", "__weft_parts", "__weft_runs", "__weft_m")
     )
 
 
