@@ -71,4 +71,34 @@ def test_calibration_allows_for_annotators_errors():
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, 4000)
     named = (rng.random(4000) < 1 / (1 + np.exp(-4 * x))) & (rng.random(4000) > 0.2)
-    assert 3 < subjects._calibrate(x, named) < 5.5
+    assert 3 < subjects._calibrate(x, named)[0] < 5.5
+
+
+def test_calibration_moves_the_line_where_labels_say_so():
+    """Annotators who go by sentences of a posterior above 0.87 in one case, above 0.13 in another, and five labels that can't tell."""
+    rng = np.random.default_rng(2)
+    n = np.full(3000, 40.0)
+    odds = rng.normal(0, 2, (3000, 40)) - rng.choice([6, 0, 3], (3000, 1))
+    shares = np.stack([(odds >= line).mean(1) for line in subjects.LINES], 1)
+    for line in (2.0, -2.0):
+        truth = (odds >= line).mean(1) >= subjects.SHARE
+        named = truth & (rng.random(3000) > 0.1)
+        assert subjects.fit_line(shares, n, named)[0] == line
+    assert subjects.fit_line(shares[:2], n[:2], np.array([True, False]))[0] in subjects.LINES
+    assert subjects.fit_line(np.zeros((0, len(subjects.LINES))), np.zeros(0), np.zeros(0, bool))[0] == 0.0
+
+
+def test_sentence_marks_behind_codes():
+    import re
+
+    code = subjects._CODE.replace(r"\p{IsLatin}", "[A-Za-z]").replace("*+", "*")
+    assert re.sub(code, " ", "it was COVID19. Then x9y, no 7.5 or \u0967\u0968\u0915.") == "it was  . Then   no 7.5 or \u0967\u0968\u0915."
+
+
+def test_shares_by_line():
+    batch = subjects.Batch(np.array([0, 1, 0]), np.full(3, subjects.WORDS), np.array([0, 1, 2]), np.array([0, 0, 1]), 3)
+    w = np.zeros((subjects.FEATURES, 3), np.float32)
+    w[0, 0], w[1, 1] = 9, 1
+    got = batch.shares(w, 1.5, np.array([0.0, 0.0]))
+    assert got.tolist() == [[0.5, 0.0], [1.0, 0.0], [0.0, 0.0]]
+    assert batch.shares(w, 1.5, np.repeat(np.array([[-9.0], [0.0]]), 2, 1)).shape == (3, 2, 2)

@@ -20,32 +20,34 @@ from weftline.runtime import checkpoint
 #: Words are hashed to so many features and pairs of words to so many others; the model has a row for each.
 WORDS, PAIRS = 1 << 17, 1 << 17
 FEATURES = WORDS + PAIRS
-#: Rounds of expectation-maximization at most, and the share of sentences that may still change their subject in the last.
-ROUNDS, SETTLED = 8, 0.001
+#: Rounds of expectation-maximization.
+ROUNDS = 6
 #: Labelled documents used to calibrate, at most.
 CALIBRATION_DOCS = 20_000
-#: Most subject areas.
-MAX_SUBJECTS = 200
+#: Most subject areas: the counts of all features then fill 136 MB in a task and in the driver.
+MAX_SUBJECTS = 64
 #: A document is about a subject that this share of its sentences deals with.
 SHARE = 0.125
 #: Smoothing count of a feature.
 ALPHA = 2.0
 #: A feature tells of a subject from this part of the way between the subject's base rate and SURE, in log odds; a sentence's features must make up for DOUBT.
 COMMON, SURE, DOUBT = 0.35, 0.85, 1.5
-#: Parts of a sentence's count that are smaller are left out of the sums of features.
-LEAST_COUNT = 1e-4
-#: All sentences of a longer document together weigh as much as so many, lest long or repetitive documents drown the others.
-LENGTH = 32
+#: All sentences of a document together weigh n / (1 + n / SAY) of their number n: nearly that of short ones, and never more than SAY, lest a very long or repetitive document drown the others.
+SAY = 64
+#: Less of a sentence than this part deals with none of the subjects instead.
+LEAST_PART = 1e-4
 #: How much less likely a subject is in a labelled document that doesn't name it (annotators err).
 UNNAMED = 0.15
+#: Lines compared between sentences that deal with a subject and others, as log odds of the sentence's posterior, and how far off even odds is a likely place.
+LINES, LINE_SD = (-3.0, -2.0, -1.25, -0.6, 0.0, 0.6, 1.25, 2.0, 3.0), 1.0
 #: Weight of an even mix against the document's own mix of subjects.
 EVEN = 0.5
 
 # What precedes the words of a line - bullet, time, clip reference, speaker.
 _PREFIX = r"(?m)^[ \t]*(?:[-*•–][ \t]*)?(?:\d{1,3}:\d\d(?::\d\d)?[ \t]+)?(?:seg \d+ / \S+ @ [\d.]+s:[ \t]*)?(?:[^\s:.!?।]{1,30}:[ \t]+)?"
 
-# Strings that mix letters and digits, such as codes and encoded data, are no words.
-_CODE = r"(?<!\S)\S*?(?:\d\p{L}|\p{L}\d)\S*"
+# Strings that mix Latin letters and digits, such as codes and encoded data, are no words; marks at their end still end a sentence.
+_CODE = r"(?<!\S)\S*?(?:\d\p{IsLatin}|\p{IsLatin}\d)\S*?(?=[.!?।॥…]*+(?!\S))"
 
 
 def sentences(text: Column) -> Column:
@@ -108,14 +110,29 @@ class Batch:
         return out
 
     def posteriors(self, weights: np.ndarray, doubt: float, allowed: np.ndarray) -> np.ndarray:
-        """Of each sentence over subjects and none, given its document's own mix.  ``allowed`` has the factor of each subject in each document."""
+        """Of each sentence over subjects and none, given its document's own mix; parts below LEAST_PART go to none.
+
+        ``allowed`` has the factor of each subject in each document.
+        """
         logit = self.scores(weights) + np.log(allowed)[self.doc]
         logit[:, -1] += doubt
         post = _softmax(logit)
         count = np.bincount(self.doc, minlength=self.docs)[:, None]
         mix = np.stack([np.bincount(self.doc, post[:, k], self.docs) for k in range(post.shape[1])], 1)
         mix = (mix + EVEN * count / post.shape[1] + 1e-3) / (count * (1 + EVEN) + 1e-3 * post.shape[1])
-        return _softmax(logit + 0.5 * np.log(mix)[self.doc])
+        post = _softmax(logit + 0.5 * np.log(mix)[self.doc])
+        post[:, :-1][post[:, :-1] < LEAST_PART] = 0
+        post[:, -1] = 1 - post[:, :-1].sum(1)
+        return post
+
+    def shares(self, weights: np.ndarray, doubt: float, lines: np.ndarray) -> np.ndarray:
+        """The share of each document's sentences whose posterior of each subject reaches its line: documents x subjects for ``lines`` by subject, or documents x subjects x lines for a table of them."""
+        classes = weights.shape[1]
+        post = self.posteriors(weights, doubt, np.ones((self.docs, classes)))[:, :-1]
+        least = 1 / (1 + np.exp(-np.atleast_2d(lines)))
+        n = np.maximum(1, np.bincount(self.doc, minlength=self.docs))[:, None]
+        out = np.stack([np.stack([np.bincount(self.doc, post[:, k] >= row[k], self.docs) for k in range(classes - 1)], 1) / n for row in least], 2)
+        return out[:, :, 0] if np.ndim(lines) == 1 else out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -170,11 +187,10 @@ def _counts(docs: DataFrame, classes: int, model: object | None) -> tuple[np.nda
             else:
                 weights, doubt = shared.value
                 post = batch.posteriors(weights, doubt, allowed)
-            n = np.bincount(batch.doc, minlength=batch.docs)
-            post = post * (LENGTH / np.maximum(n, LENGTH))[batch.doc][:, None]
+            post = post / (1 + np.bincount(batch.doc, minlength=batch.docs) / SAY)[batch.doc][:, None]
             length = np.diff(np.append(batch.begin, len(batch.word)))
             for k in range(classes):
-                some = np.flatnonzero(post[:, k] > LEAST_COUNT)
+                some = np.flatnonzero(post[:, k])
                 n_words = length[some]
                 at = np.repeat(batch.begin[some] - (np.cumsum(n_words) - n_words), n_words) + np.arange(n_words.sum())
                 weight = np.repeat(post[some, k], n_words)
@@ -204,8 +220,8 @@ def _allowed(labels: pa.Array, classes: int) -> np.ndarray:
     return out
 
 
-def _calibrate(x: np.ndarray, named: np.ndarray, slope: float = 6.0) -> float:
-    """Slope of P(deals with the subject | x) = 1 / (1 + exp(-slope * x)), whose middle is SHARE by definition.
+def _calibrate(x: np.ndarray, named: np.ndarray, slope: float = 6.0) -> tuple[float, float]:
+    """Slope of P(is about the subject | x) = 1 / (1 + exp(-slope * x)), whose middle is SHARE by definition, and how likely the labels then are (a logarithm).
 
     Annotators err, so how often they miss a subject and name a wrong one is fitted
     as well; where labels are few, the slope stays near the one given.
@@ -220,7 +236,23 @@ def _calibrate(x: np.ndarray, named: np.ndarray, slope: float = 6.0) -> float:
         gradient = x @ (p - z) + (slope - 6.0) / 9
         curve = (x * x) @ (p * (1 - p)) + 1 / 9
         slope = float(np.clip(slope - np.clip(gradient / curve, -1, 1), 0.5, 50))
-    return slope
+    p = 1 / (1 + np.exp(-np.clip(slope * x, -30, 30)))
+    likely = p * np.where(named, 1 - miss, miss) + (1 - p) * np.where(named, wrong, 1 - wrong)
+    return slope, float(np.log(np.maximum(likely, 1e-12)).sum())
+
+
+def fit_line(shares: np.ndarray, n: np.ndarray, named: np.ndarray) -> tuple[float, float]:
+    """The line of LINES at which the documents' ``shares`` (documents x lines) agree best with the labels, and the slope there.
+
+    Lines away from even odds have to earn it: where labels are few, the line stays there.
+    """
+    best = (0.0, 6.0, -np.inf)
+    for i, line in enumerate(LINES):
+        slope, likely = _calibrate(_odds(shares[:, i], n), named)
+        likely -= line * line / (2 * LINE_SD**2)
+        if likely > best[2]:
+            best = (line, slope, likely)
+    return best[:2]
 
 
 def _prepare(documents: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
@@ -237,40 +269,51 @@ def _prepare(documents: DataFrame, labels: DataFrame, names: list[str]) -> DataF
     return docs.join(named, "doc_id", "left")
 
 
-def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, list[str]]:
-    """((doc_id, labels, n_sentences, shares), subjects): the share of each document's sentences that deals with each subject."""
+def _names(subjects: DataFrame) -> list[str]:
     rows = subjects.where("subject IS NOT NULL").select("subject").distinct().limit(MAX_SUBJECTS + 1).collect()
-    names = sorted(r[0] for r in rows)
-    if len(names) > MAX_SUBJECTS:
+    if len(rows) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
-    classes = len(names) + 1
-    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, labels array<int>, n_sentences int, shares array<double>"
-    if not names:
-        return documents.sparkSession.createDataFrame([], schema), names
-    docs = checkpoint(_prepare(documents, labels, names))
-    labelled = docs.where("labels IS NOT NULL")
-    counts, sizes = _counts(labelled, classes, None)
-    if not sizes.sum():
-        return documents.sparkSession.createDataFrame([], schema), names
-    for _ in range(rounds):
-        before = sizes
-        counts, sizes = _counts(docs, classes, (complement_weights(counts), DOUBT))
-        if np.abs(sizes - before).sum() <= 2 * SETTLED * sizes.sum():
-            break
-    shared = docs.sparkSession.sparkContext.broadcast((complement_weights(counts), DOUBT))
+    return sorted(r[0] for r in rows)
+
+
+def _shares(docs: DataFrame, weights: np.ndarray, lines: np.ndarray) -> DataFrame:
+    """(doc_id, labels, n_sentences, shares), the shares of a document end to end."""
+    shared = docs.sparkSession.sparkContext.broadcast((weights, lines))
+    width = (weights.shape[1] - 1) * (1 if np.ndim(lines) == 1 else len(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, doubt = shared.value
+        weights, lines = shared.value
         for b in batches:
             batch = Batch.of(b.column("x"))
-            post = batch.posteriors(weights, doubt, np.ones((batch.docs, classes)))
+            shares = batch.shares(weights, DOUBT, lines)
             n = np.bincount(batch.doc, minlength=batch.docs)
-            best = post.argmax(1) if len(post) else np.zeros(0, np.int64)
-            shares = np.stack([np.bincount(batch.doc, best == k, batch.docs) for k in range(classes - 1)], 1) / np.maximum(1, n)[:, None]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.docs + 1, dtype=np.int32) * (classes - 1)), pa.array(shares.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.docs + 1, dtype=np.int32) * width), pa.array(shares.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("labels"), pa.array(n.astype(np.int32)), lists], ["doc_id", "labels", "n_sentences", "shares"])
 
-    return docs.mapInArrow(run, schema), names
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, labels array<int>, n_sentences int, shares array<double>")
+
+
+def train(docs: DataFrame, classes: int, rounds: int = ROUNDS) -> np.ndarray | None:
+    """Weights of the features: from the labelled of ``docs`` (see _prepare), then refined by expectation-maximization over all; null without labels."""
+    counts, sizes = _counts(docs.where("labels IS NOT NULL"), classes, None)
+    if not sizes.sum():
+        return None
+    for _ in range(rounds):
+        counts, _ = _counts(docs, classes, (complement_weights(counts), DOUBT))
+    return complement_weights(counts)
+
+
+def calibrate(docs: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and slope of each subject, fitted one by one on at most CALIBRATION_DOCS labelled documents."""
+    few = docs.where("labels IS NOT NULL AND size(x) > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS)
+    table = np.repeat(np.array(LINES)[:, None], weights.shape[1] - 1, 1)
+    sample = _shares(few, weights, table).toPandas()
+    if not len(sample):
+        return np.zeros(weights.shape[1] - 1), np.full(weights.shape[1] - 1, 6.0)
+    shares = np.stack(sample["shares"].to_list()).reshape(len(sample), -1, len(LINES))
+    n, labels = sample["n_sentences"].to_numpy(np.float64), [set(v) for v in sample["labels"]]
+    fits = [fit_line(shares[:, k], n, np.array([k in v for v in labels], bool)) for k in range(weights.shape[1] - 1)]
+    return np.array([f[0] for f in fits]), np.array([f[1] for f in fits])
 
 
 def _odds(share: np.ndarray | Column, n: np.ndarray | Column, log=np.log):
@@ -281,22 +324,22 @@ def _odds(share: np.ndarray | Column, n: np.ndarray | Column, log=np.log):
 def subject_posteriors(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, subject, n_sentences, share, posterior) for every document with sentences and each subject one of them deals with.
 
-    The posterior of a subject is a logistic function of the log of its share of
-    sentences against SHARE, where it is one half; its slope is fitted per subject on
-    at most CALIBRATION_DOCS labelled documents, allowing for annotators' errors.  Null and blank texts have no
-    row.  Labels of unknown documents or subjects are ignored; without labels, or
+    Each subject is calibrated on its own, on at most CALIBRATION_DOCS labelled
+    documents and allowing for annotators' errors: from which posterior on a sentence
+    deals with it (fit_line; low lines let a sentence deal with several subjects), and
+    how fast the posterior of a document rises with the log of its share of such
+    sentences against SHARE, where it is one half.  Null and blank texts have no row.
+    Labels of unknown documents or subjects are ignored; without labels, or
     without subjects, there are no rows.  Repeated documents are judged alike.
     """
-    shares, names = subject_shares(documents, labels, subjects, rounds)
-    if not names:
-        return shares.select("doc_id", F.lit("").alias("subject"), "n_sentences", F.lit(0.0).alias("share"), F.lit(0.0).alias("posterior"))
-    shares = checkpoint(shares.where("n_sentences > 0"))
-    sample = shares.where("labels IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_DOCS).toPandas()
-    fits = []
-    for k in range(len(names)):
-        x = np.array([_odds(s[k], n) for s, n in zip(sample["shares"], sample["n_sentences"])])
-        fits.append(_calibrate(x, np.array([k in set(v) for v in sample["labels"]], bool)) if len(x) else 6.0)
-    table = F.array(*(F.struct(F.lit(n).alias("subject"), F.lit(a).alias("slope")) for n, a in zip(names, fits)))
+    names = _names(subjects)
+    docs = checkpoint(_prepare(documents, labels, names)) if names else None
+    weights = train(docs, len(names) + 1, rounds) if names else None
+    if weights is None:
+        return documents.sparkSession.createDataFrame([], f"doc_id {dict(documents.dtypes)['doc_id']}, subject string, n_sentences int, share double, posterior double")
+    lines, slopes = calibrate(docs, weights)
+    shares = _shares(docs, weights, lines).where("n_sentences > 0")
+    table = F.array(*(F.struct(F.lit(n).alias("subject"), F.lit(float(a)).alias("slope")) for n, a in zip(names, slopes)))
     each = shares.select("doc_id", "n_sentences", F.explode(F.arrays_zip(F.col("shares").alias("share"), table.alias("fit"))).alias("z"))
     share, n = F.col("z.share"), F.col("n_sentences")
     posterior = 1 / (1 + F.exp(-F.col("z.fit.slope") * _odds(share, n, F.log)))
