@@ -107,5 +107,7 @@ FROM hit h JOIN cut c ON h.detector = c.detector AND h.tag = c.tag WHERE h.score
     "p4_found": f"""
 SELECT DISTINCT t.seg_id FROM transcripts t JOIN dataset d ON d.sample_id = t.seg_id
 WHERE t.text <> d.text_plain AND {_form("t.text")} = {_form("d.text_plain")}""",
+    "p7_whole": """SELECT container, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS overflow, 0::BIGINT AS broken, 0::BIGINT AS "cut"
+FROM (SELECT DISTINCT container FROM container_sizes WHERE capacity_tokens > 0 AND container IS NOT NULL)""",
     "p4_forms": f"SELECT seg_id, text, {_form('text')} AS form FROM (SELECT seg_id, text FROM transcripts UNION ALL SELECT sample_id, text_plain FROM dataset)",
 }

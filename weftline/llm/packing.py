@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.runtime import checkpoint
+from weftline.runtime import checkpoint_with
 
 #: Greatest capacity; a histogram has no more rows.
 MAX_CAPACITY = 1 << 17
 #: Kinds of containers handled at once.
 MAX_CONTAINERS = 1000
+#: Lengths and parts of plans of all kinds together, which are broadcast: 96 MB.
+MAX_PLAN = 3_000_000
 #: Items of one length ranked in one task.
 RANK_ROWS = 50_000
 
@@ -108,7 +110,7 @@ def pack(items: DataFrame, containers: DataFrame, item: str = "doc_id", size: st
         .select("_k.*", item, "_n", F.explode(F.expr("sequence(0, greatest(0, cast(ceil(_n / _k.capacity) as int) - 1))")).alias("piece"))
         .select("container", item, "piece", F.expr("cast(least(capacity, _n - piece * capacity) as int)").alias("tokens"))
     )
-    histogram = checkpoint(pieces.where("tokens > 0").groupBy("container", "tokens").agg(F.count("*").alias("n")))
+    histogram, seen = checkpoint_with(pieces.where("tokens > 0").groupBy("container", "tokens").agg(F.count("*").alias("n")), rows=F.count("*"))
 
     def plan(part: pd.DataFrame) -> pd.DataFrame:
         name = part["container"].iloc[0]
@@ -116,7 +118,10 @@ def pack(items: DataFrame, containers: DataFrame, item: str = "doc_id", size: st
         return pd.DataFrame(found, columns=["tokens", "first", "stop", "per", "bin"]).assign(container=name).astype({"container": object})
 
     names = {name: i for i, name in enumerate(sorted(kinds))}
-    steps = histogram.groupBy("container").applyInPandas(plan, "container string, tokens int, first long, stop long, per long, bin long").toPandas()
+    planned, parts = checkpoint_with(histogram.groupBy("container").applyInPandas(plan, "container string, tokens int, first long, stop long, per long, bin long"), rows=F.count("*"))
+    if max(seen["rows"], parts["rows"]) > MAX_PLAN:
+        raise ValueError(f"more than {MAX_PLAN} lengths or parts of plans; pack fewer kinds of containers at once")
+    steps = planned.toPandas()
     kind = steps["container"].map(names).to_numpy(np.int64) if len(steps) else np.zeros(0, np.int64)
     group = kind * (MAX_CAPACITY + 1) + steps["tokens"].to_numpy(np.int64)
     by = np.lexsort((steps["first"].to_numpy(np.int64), group))

@@ -76,6 +76,16 @@ def p7_fill(spark: SparkSession, directory: str) -> DataFrame:
     return packing.fill(_packed(spark, directory), table(spark, directory, "container_sizes"))
 
 
+def p7_whole(spark: SparkSession, directory: str) -> DataFrame:
+    """Per kind of container: the documents that have a place, tokens above the capacity of a bin, documents with missing or repeated pieces, and documents that were cut though they fit."""
+    kinds = table(spark, directory, "container_sizes").where("capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").alias("capacity"))
+    packed = checkpoint(_packed(spark, directory).join(F.broadcast(kinds), "container"))
+    bins = packed.where("bin_id IS NOT NULL").groupBy("container", "capacity", "bin_id").agg(F.sum("tokens").alias("t")).groupBy("container").agg(F.sum(F.greatest(F.col("t") - F.col("capacity"), F.lit(0))).cast("long").alias("overflow"))
+    docs = packed.groupBy("container", "capacity", "doc_id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.countDistinct("piece").alias("d"), F.sum("tokens").alias("t"))
+    each = docs.groupBy("container").agg(F.count("*").alias("documents"), F.count_if((F.col("d") != F.col("n")) | (F.col("last") + 1 != F.col("n"))).alias("broken"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))).alias("cut"))
+    return each.join(bins, "container")
+
+
 def _about(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, directory, "documents").select("doc_id", "text"), table(spark, directory, "subject_labels"), table(spark, directory, "subjects")
 
@@ -94,5 +104,5 @@ def p8_makeup(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_members, p1_splits, p1_parted, p2_found, p2_cutoffs, p3_found, p3_shares, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p8_found, p8_posteriors, p8_makeup)
+    f.__name__: f for f in (p1_found, p1_members, p1_splits, p1_parted, p2_found, p2_cutoffs, p3_found, p3_shares, p4_found, p4_forms, p6_ids, p7_containers, p7_fill, p7_whole, p8_found, p8_posteriors, p8_makeup)
 }
