@@ -34,15 +34,18 @@ def ranks(intervals: DataFrame, keys: list[str], chunk: int = CHUNK_MS) -> DataF
     (keys..., t, starts, ends, opens, closes, next_t): how many starts and how
     many ends lie up to t, whether a period opens or closes there, and the next
     boundary.  Boundaries are counted per ms before the first
-    shuffle; ranks within a chunk of time and totals of earlier chunks are added, so
-    that no task needs to hold an entity.
+    shuffle, then dealt out by entity and chunk of time once: ranks within a chunk and
+    the totals of chunks both start from there (nulls are left out first, so that both sides ask for the same exchange).  Totals of earlier chunks, one row per
+    entity and chunk, are added, so that no task needs to hold an entity's boundaries.
     """
     side = lambda c, a, b: F.struct(F.col(c).alias("t"), F.lit(a).alias("ns"), F.lit(b).alias("ne"))
     points = (
         intervals.select(*keys, F.explode(F.array(side("s", 1, 0), side("e", 0, 1))).alias("p"))
         .select(*keys, F.col("p.t").alias("t"), F.floor(F.col("p.t") / chunk).alias("_chunk"), "p.ns", "p.ne")
+        .where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in (*keys, "_chunk"))))
         .groupBy(*keys, "_chunk", "t")
         .agg(F.sum("ns").alias("ns"), F.sum("ne").alias("ne"))
+        .repartition(*keys, "_chunk")
     )
     entity = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = entity.rowsBetween(Window.unboundedPreceding, -1)
