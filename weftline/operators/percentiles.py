@@ -39,15 +39,15 @@ def strict_percentile(rows: DataFrame, keys: list[str], value: str, name: str, f
 
 
 def whispers(features: DataFrame, keys: list[str], voiced_most: float = 0.25, percentile: float = 0.20) -> DataFrame:
-    """(seg_id, score): hardly voiced clips that aren't quieter than most: rms at or above the percentile of positive values of the job, which ``keys`` name."""
+    """(seg_id, score, voiced, rms): hardly voiced clips that aren't quieter than most: rms at or above the percentile of positive values of the job, which ``keys`` name."""
     known = features.where("rms > 0").groupBy(*keys, "rms").agg(F.count("*").alias("_c"))
     floor = known.groupBy(*keys).agg(F.percentile("rms", F.lit(percentile), F.col("_c")).alias("floor"))
     at = features.join(floor, keys, "left") if keys else features.join(F.broadcast(floor))
-    return at.where((F.col("rms") >= F.coalesce("floor", F.lit(0.0))) & (F.col("voiced") <= voiced_most)).select("seg_id", half_up(1 - F.col("voiced"), 3).alias("score"))
+    return at.where((F.col("rms") >= F.coalesce("floor", F.lit(0.0))) & (F.col("voiced") <= voiced_most)).select("seg_id", half_up(1 - F.col("voiced"), 3).alias("score"), "voiced", "rms")
 
 
 def tones(features: DataFrame, keys: list[str], fewest: int = 20, flat: float = 0.10, cheer: float = 0.90) -> DataFrame:
-    """(seg_id, tag, score): flatly in the lowest tenth of pitch variation, cheerfully in the highest of pitch with ample variation.
+    """(seg_id, tag, score, f0_mean, f0_std, p_mean, p_std): flatly in the lowest tenth of pitch variation, cheerfully in the highest of pitch with ample variation.
 
     Speakers with fewer than ``fewest`` clips, clips without pitch and whispered ones are left out.
     """
@@ -60,7 +60,8 @@ def tones(features: DataFrame, keys: list[str], fewest: int = 20, flat: float =
         "seg_id",
         F.when(flatly, "flatly").otherwise("cheerfully").alias("tag"),
         F.when(flatly, half_up(1.0 - F.col("p_std") / flat * 0.5, 3)).otherwise(half_up(0.5 + (F.col("p_mean") - cheer) / (1 - cheer) * 0.5, 3)).alias("score"),
-    )
+        "f0_mean", "f0_std", "p_mean", "p_std",
+    )
 
 
 def _regions(a: Column, v: Column, unstable: Column) -> list[tuple[str, Column, Column]]:
@@ -75,7 +76,7 @@ def _regions(a: Column, v: Column, unstable: Column) -> list[tuple[str, Column,
 
 
 def states(features: DataFrame, keys: list[str], fewest: int = 20) -> DataFrame:
-    """(seg_id, tag, score): states by where arousal and valence stand among the speaker's; several may hold.
+    """(seg_id, tag, score, arousal, valence, pa, pv): states by where arousal and valence stand among the speaker's; several may hold.
 
     Needs ``fewest`` scored clips of a speaker; nervous also needs a pitch variation
     above the speaker's upper quartile.
@@ -86,4 +87,4 @@ def states(features: DataFrame, keys: list[str], fewest: int = 20) -> DataFrame:
     p = strict_percentile(strict_percentile(scored.join(many, keys, "left_semi"), keys, "arousal", "pa", width=0.05), keys, "valence", "pv", width=0.05)
     unstable = F.coalesce(F.col("f0_std") > F.coalesce("_q", F.lit(1e9)), F.lit(False))
     hits = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(t).alias("tag"), half_up(F.least(F.lit(1.0), 0.3 + s), 3).alias("score"))) for t, cond, s in _regions(F.col("pa"), F.col("pv"), unstable))))
-    return p.join(quartile, keys, "left").select("seg_id", F.explode(hits).alias("h")).select("seg_id", "h.tag", "h.score")
+    return p.join(quartile, keys, "left").select("seg_id", "arousal", "valence", "pa", "pv", F.explode(hits).alias("h")).select("seg_id", "h.tag", "h.score", "arousal", "valence", "pa", "pv")

@@ -32,13 +32,14 @@ def event_peak(scores: DataFrame, keys: list[str], classes: list[str], least: fl
 
     Clips whose greatest score is below ``least`` are left out.
     """
-    top = F.greatest(*classes) if len(classes) > 1 else F.col(classes[0])
+    named = [F.col(f"`{c}`") for c in classes]
+    top = F.greatest(*named) if len(classes) > 1 else named[0]
     best = F.max(F.struct(top.alias("score"), (-F.col("f")).alias("f")))
     return (
         scores.groupBy(*keys)
-        .agg(best.alias("m"), *(F.max(c).alias(c) for c in classes))
+        .agg(best.alias("m"), *(F.max(c).alias(n) for c, n in zip(named, classes)))
         .where(F.col("m.score") >= least)
-        .select(*keys, F.col("m.score").alias("score"), (-F.col("m.f")).alias("frame"), *classes)
+        .select(*keys, F.col("m.score").alias("score"), (-F.col("m.f")).alias("frame"), *named)
     )
 
 

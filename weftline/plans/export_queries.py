@@ -133,15 +133,15 @@ def speaker_percentile(spark, directory):
 
 
 def whispers(spark, directory):
-    return P.whispers(features(spark, directory), ["video_id"])
+    return P.whispers(features(spark, directory), ["video_id"]).select("seg_id", "score")
 
 
 def tones(spark, directory):
-    return P.tones(features(spark, directory), SPEAKER)
+    return P.tones(features(spark, directory), SPEAKER).select("seg_id", "tag", "score")
 
 
 def states(spark, directory):
-    return P.states(features(spark, directory), SPEAKER)
+    return P.states(features(spark, directory), SPEAKER).select("seg_id", "tag", "score")
 
 
 def frame_rms(spark, directory):

@@ -12,7 +12,7 @@ from weftline.operators import words as W
 from weftline.plans import export_queries, word_queries
 from weftline.plans.export_queries import _RMS, _half
 from weftline.plans.interval_queries import _SUSPECT, _SWEEP, KEYS, _minus, _them
-from weftline.plans.views import candidates, features, islands, merged, query, samples, signal, texts, turns, words
+from weftline.plans.views import candidates, features, frames, islands, merged, query, samples, signal, spans, texts, turns, words
 from weftline.runtime import table
 
 
@@ -66,20 +66,30 @@ def skipped_words(spark, directory):
 
 def detected(spark, directory):
     """Candidates of all registered detectors."""
-    tables = {"words": words(spark, directory), "islands": islands(spark, directory), "features": features(spark, directory)}
-    return D.detect(tables).select("seg_id", "tag", "score", "position_s", "detector_name")
+    dur = spans(spark, directory).select("seg_id", (F.col("e") - F.col("s")).alias("dur_ms"))
+    tables = {"words": words(spark, directory), "islands": islands(spark, directory), "features": features(spark, directory), "frames": frames(spark, directory), "clips": dur}
+    label = D.chip_label(F.col("tag"), F.col("score"), F.col("evidence"))
+    return D.detect(tables).select("seg_id", "tag", "score", "position_s", "detector_name", label.alias("label"), F.array_sort(F.json_object_keys("evidence")).alias("fields"))
+
+
+def _hits(spark, directory):
+    """Candidates, their evidence null unless it is JSON."""
+    return candidates(spark, directory).withColumn("evidence", F.when(F.expr("try_parse_json(evidence) IS NOT NULL"), F.col("evidence")))
 
 
 def chip_labels(spark, directory):
-    c = candidates(spark, directory)
-    return c.where("try_parse_json(evidence) IS NOT NULL").select("cand_id", D.chip_label(F.col("tag"), F.col("score"), F.col("evidence")).alias("label"))
+    return _hits(spark, directory).select("cand_id", D.chip_label(F.col("tag"), F.col("score"), F.col("evidence")).alias("label"))
+
+
+def chip_titles(spark, directory):
+    return _hits(spark, directory).select("cand_id", D.chip_title(F.col("tag"), F.col("score"), F.col("detector"), F.col("evidence")).alias("title"))
 
 
 def failure_counts(spark, directory):
     return R.failures(table(spark, directory, "lane_transcripts"), "error", ["engine"])
 
 
-QUERIES = {f.__name__: f for f in (detected, chip_labels, failure_counts, speech_islands, lane_windows, paste_regions, prosody_features, engine_texts, retried_texts, skipped_words)}
+QUERIES = {f.__name__: f for f in (detected, chip_labels, chip_titles, failure_counts, speech_islands, lane_windows, paste_regions, prosody_features, engine_texts, retried_texts, skipped_words)}
 
 def _body(sql: str) -> str:
     """The SELECT behind the common views of another query's SQL."""
@@ -89,17 +99,31 @@ def _body(sql: str) -> str:
 _AT = "floor(({}) / 1000.0::DOUBLE * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE"
 _W, _E = word_queries.ORACLE, export_queries.ORACLE
 _J = "json_extract_string(evidence, '$.{}')"
+_HITS = "hits AS (SELECT * REPLACE (CASE WHEN json_valid(evidence) THEN evidence END AS evidence) FROM cands)"
 _TWO = "printf('%.2f', floor(({}) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE)"
 
+
+
+def _Q(field: str) -> str:
+    return f"coalesce({_J.format(field)}, '?')"
+
+
 ORACLE = {
     "detected": query(
-        f"""SELECT seg_id, 'pauses' AS tag, score, {_AT.format("mid")} AS position_s, 'beats' AS detector_name FROM pauses p WHERE NOT EXISTS (SELECT 1 FROM islands i WHERE i.seg_id = p.seg_id AND i.s < p.mid AND p.mid < i.e)
-            UNION ALL SELECT seg_id, 'hesitates', score, {_AT.format('"at"')}, 'beats' FROM ({_body(_W["beats_hesitates"])})
-            UNION ALL SELECT seg_id, 'stammers', 0.7::DOUBLE, {_AT.format('"at"')}, 'beats' FROM ({_body(_W["beats_stammers"])})
-            UNION ALL SELECT seg_id, 'stammers', 0.5::DOUBLE, {_AT.format('"at"')}, 'beats' FROM ({_body(_W["island_cluster"]).replace("9000", "2000")})
-            UNION ALL SELECT seg_id, 'whispers', score, NULL, 'whispers' FROM ({_body(_E["whispers"])})
-            UNION ALL SELECT seg_id, tag, score, NULL, 'tones' FROM ({_body(_E["tones"])})
-            UNION ALL SELECT seg_id, tag, score, NULL, 'states' FROM ({_body(_E["states"])})""",
+        f"""SELECT seg_id, 'pauses' AS tag, score, {_AT.format("mid")} AS position_s, 'beats' AS detector_name, {_TWO.format(_AT.format("gap"))} || 's' AS label, ['after_word', 'before_word', 'gap_s'] AS fields
+              FROM pauses p WHERE NOT EXISTS (SELECT 1 FROM islands i WHERE i.seg_id = p.seg_id AND i.s < p.mid AND p.mid < i.e)
+            UNION ALL SELECT seg_id, 'hesitates', {_half("least(1.0::DOUBLE, 0.5 + g / 1000.0::DOUBLE)", 3)}, {_AT.format("s")}, 'beats', '"' || w || '"', ['filler', 'gap_s'] FROM (
+              SELECT *, greatest(coalesce(s - prev_e, 0), coalesce(next_s - e, 0)) AS g FROM near) WHERE g >= 300 AND {word_queries._NORM.format("w")} IN ({word_queries._FILLERS})
+            UNION ALL SELECT seg_id, 'hesitates', {_half("least(1.0::DOUBLE, (e - s) / 1000.0::DOUBLE)", 3)}, {_AT.format("(s + e) / 2.0::DOUBLE")}, 'beats', {_TWO.format(_AT.format("e") + " - " + _AT.format("s"))} || 's', ['island', 'kind'] FROM islands WHERE e - s BETWEEN 300 AND 1000
+            UNION ALL SELECT seg_id, 'stammers', 0.7::DOUBLE, {_AT.format('"at"')}, 'beats', '"' || word || '"', ['join_s', 'repeated'] FROM ({_body(_W["beats_stammers"])})
+            UNION ALL SELECT seg_id, 'stammers', 0.5::DOUBLE, {_AT.format('"at"')}, 'beats', '3×', ['island_cluster'] FROM ({_body(_W["island_cluster"]).replace("9000", "2000")})
+            UNION ALL SELECT seg_id, 'whispers', score, NULL, 'whispers', {_TWO.format("score")}, ['rms', 'voiced_ratio'] FROM ({_body(_E["whispers"])})
+            UNION ALL SELECT seg_id, tag, score, NULL, 'tones', {_TWO.format("score")}, CASE tag WHEN 'flatly' THEN ['f0_std_st', 'pctl_in_speaker'] ELSE ['f0_mean', 'f0_std_st', 'pctl_mean', 'pctl_std'] END FROM ({_body(_E["tones"])})
+            UNION ALL SELECT seg_id, tag, score, NULL, 'states', {_TWO.format("score")}, ['arousal', 'pctl_a', 'pctl_v', 'valence', 'weak'] FROM ({_body(_E["states"])})
+            UNION ALL SELECT seg_id, tag, {_half("top", 3)}, {_AT.format("at_f * (SELECT max(c.e - c.s) FROM spans c WHERE c.seg_id = p.seg_id) / n")}, CASE tag WHEN 'laughs' THEN 'laughs' ELSE 'reactions' END, {_TWO.format(_half("top", 3))}, ['class_scores'] FROM (
+              SELECT seg_id, tag, max(x) AS top, arg_min(f, (-x, f)) AS at_f, max(f) + 1 AS n FROM (
+                {" UNION ALL ".join(f"SELECT seg_id, '{t}' AS tag, f, greatest({', '.join(chr(34) + c + chr(34) for c in names)}) AS x FROM frames" for t, names in (D.LAUGHS | D.REACTIONS).items())}) GROUP BY seg_id, tag) p
+              WHERE top >= CASE tag WHEN 'laughs' THEN 0.05 ELSE 0.03 END::DOUBLE AND EXISTS (SELECT 1 FROM spans c WHERE c.seg_id = p.seg_id AND c.e - c.s >= 250)""",
         word_queries._PAUSES,
     ),
     "chip_labels": query(
@@ -108,7 +132,20 @@ ORACLE = {
               WHEN tag = 'hesitates' AND {_J.format("island")} IS NOT NULL THEN {_TWO.format(_J.format("island[1]") + "::DOUBLE - " + _J.format("island[0]") + "::DOUBLE")} || 's'
               WHEN tag = 'stammers' AND {_J.format("repeated")} IS NOT NULL THEN '"' || {_J.format("repeated")} || '"'
               WHEN tag = 'stammers' AND {_J.format("island_cluster")} IS NOT NULL THEN json_array_length(evidence, '$.island_cluster')::VARCHAR || '×'
-              WHEN score IS NOT NULL THEN {_TWO.format("score")} END AS label FROM cands WHERE json_valid(evidence)"""
+              WHEN score IS NOT NULL THEN {_TWO.format("score")} END AS label FROM hits""",
+        _HITS,
+    ),
+    "chip_titles": query(
+        f"""SELECT cand_id, concat_ws(chr(10), 'detector: ' || detector, 'score: ' || printf('%.3f', floor(score * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE),
+              CASE WHEN tag = 'pauses' AND {_J.format("gap_s")} IS NOT NULL THEN {_Q("gap_s")} || 's of silence between "' || {_Q("after_word")} || '" and "' || {_Q("before_word")} || '"'
+                WHEN tag = 'hesitates' AND {_J.format("filler")} IS NOT NULL THEN 'filler "' || {_Q("filler")} || '" beside a ' || {_Q("gap_s")} || 's gap'
+                WHEN tag = 'hesitates' AND {_J.format("island")} IS NOT NULL THEN {_TWO.format(_J.format("island[1]") + "::DOUBLE - " + _J.format("island[0]") + "::DOUBLE")} || 's of speech with no transcript'
+                WHEN tag = 'stammers' AND {_J.format("repeated")} IS NOT NULL THEN '"' || {_Q("repeated")} || '" repeated ' || {_Q("join_s")} || 's apart'
+                WHEN {_J.format("class_scores")} IS NOT NULL THEN 'class scores: ' || json_extract(evidence, '$.class_scores')::VARCHAR
+                WHEN {_J.format("arousal")} IS NOT NULL THEN 'arousal ' || {_Q("arousal")} || ' (pctl ' || {_Q("pctl_a")} || ') · valence ' || {_Q("valence")} || ' (pctl ' || {_Q("pctl_v")} || ')' || CASE WHEN {_J.format("weak")} = 'true' THEN ' · WEAK evidence (English-trained model on Hindi)' ELSE '' END
+                WHEN {_J.format("f0_std_st")} IS NOT NULL THEN 'pitch variability ' || {_Q("f0_std_st")} || ' semitones (speaker pctl ' || coalesce({_J.format("pctl_in_speaker")}, {_J.format("pctl_std")}, '?') || ')' END,
+              'click to play ±2s around it') AS title FROM hits""",
+        _HITS,
     ),
     "failure_counts": "SELECT engine, count(*) AS n, count(error) AS n_failed FROM lane_transcripts GROUP BY engine",
     "speech_islands": query(

@@ -30,7 +30,7 @@ def beats_stammers(spark, directory):
 
 
 def island_cluster(spark, directory):
-    return W.island_clusters(islands(spark, directory), KEY, 9000)
+    return W.island_clusters(islands(spark, directory), KEY, 9000).drop("cluster")
 
 
 def island_status(spark, directory):
