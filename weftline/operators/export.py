@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import half_up, split_of, tokens
-from weftline.runtime import settle
+from weftline.operators.rows import rename
+from weftline.runtime import computed, settle
 
 # Least score of a tag; tags not named always pass.
 THRESHOLDS = {
@@ -84,34 +85,25 @@ def render(texts: DataFrame, words: DataFrame, tags: DataFrame, key: str = "seg_
     Tags of the whole utterance, and tags without position, lead by falling score; others
     stand before the first word that starts after their position, or at the end.  Equal
     places go by position, then tag.  A text without words has all its tags in front.
-    ``words`` has key, i, s; ``tags`` has key, tag, score and position_ms.
+    ``words`` has key, i, s; ``tags`` has key, tag, score and position_ms.  Tokens stay
+    in the row of their text; only tags and word starts are gathered beside it.
     """
     settle(texts.sparkSession)
-    toks = texts.select(key, F.posexplode(tokens(F.col("text"))).alias("i", "w"))
     timed = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "i"))).alias("_w"))
-    lead = F.col("tag").isin(UTTERANCE) | F.col("position_ms").isNull() | F.col("_w").isNull()
-    after = F.get(F.filter("_w", lambda x: x.s > F.col("position_ms")), F.lit(0)).i
-    placed = (
-        tags.join(timed, key, "left")
-        .select(key, "tag", "score", "position_ms", lead.alias("_lead"), after.alias("_i"))
-        .select(
-            key,
-            "tag",
-            F.struct(
-                F.when(F.col("_lead"), -1).otherwise(F.coalesce(F.col("_i") * 2, F.lit(1 << 30))).cast("long").alias("place"),
-                F.when(F.col("_lead"), -F.coalesce("score", F.lit(0.0))).otherwise(F.col("position_ms").cast("double")).alias("order"),
-                F.concat(F.lit("["), "tag", F.lit("]")).alias("x"),
-            ).alias("p"),
-        )
-    )
-    plain = toks.select(key, F.lit(None).cast("string").alias("tag"), F.struct((F.col("i") * 2 + 1).cast("long").alias("place"), F.lit(0.0).alias("order"), F.col("w").alias("x")).alias("p"))
-    known = texts.select(key).distinct()
-    return (
-        plain.unionByName(placed.join(known, key, "left_semi"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list("p")).alias("p"), F.array_sort(F.collect_set("tag")).alias("tags"))
-        .select(key, F.array_join(F.transform("p", lambda x: x.x), " ").alias("tagged"), "tags")
-    )
+    hits = tags.groupBy(key).agg(F.collect_list(F.struct("tag", "score", "position_ms")).alias("_t"), F.array_sort(F.collect_set("tag")).alias("tags"))
+    rows = texts.select(key, tokens(F.col("text")).alias("_k")).join(timed, key, "left").join(hits, key, "left").where(F.coalesce(F.size("_k"), F.lit(0)) + F.coalesce(F.size("_t"), F.lit(0)) > 0)
+    words_of = F.coalesce("_k", F.expr("cast(array() as array<string>)"))
+
+    def place(t: Column) -> Column:
+        leads = t.tag.isin(UTTERANCE) | t.position_ms.isNull() | F.col("_w").isNull()
+        before = F.get(F.filter("_w", lambda x: x.s > t.position_ms), F.lit(0)).i
+        at = F.when(leads, -1).otherwise(F.when(before < F.size(words_of), before).otherwise(F.size(words_of)))
+        return F.struct(at.alias("at"), F.when(leads, -F.coalesce(t.score, F.lit(0.0))).otherwise(t.position_ms.cast("double")).alias("order"), F.concat(F.lit("["), t.tag, F.lit("]")).alias("x"))
+
+    rows = computed(rows, {"_m": F.coalesce(F.array_sort(F.transform("_t", place)), F.expr("cast(array() as array<struct<at:int,order:double,x:string>>)")), "_k": words_of})
+    at = lambda k: F.transform(F.filter("_m", lambda m: m.at == k), lambda m: m.x)
+    parts = F.when(F.size("_m") > 0, F.concat(at(F.lit(-1)), F.flatten(F.transform("_k", lambda w, i: F.concat(at(i), F.array(w)))), at(F.size("_k")))).otherwise(F.col("_k"))
+    return rows.select(key, F.array_join(parts, " ").alias("tagged"), F.coalesce("tags", F.expr("cast(array() as array<string>)")).alias("tags"))
 
 
 def matrix(rows: DataFrame, speaker: str = "speaker", tags: str = "tags", by: tuple[str, ...] = ()) -> DataFrame:
@@ -121,15 +113,26 @@ def matrix(rows: DataFrame, speaker: str = "speaker", tags: str = "tags", by: tu
     return base.select(*by, speaker, F.explode(cells).alias("tag")).groupBy(*by, speaker, "tag").agg(F.count("*").alias("n"))
 
 
-def training_rows(clips: DataFrame, texts: DataFrame, lines: DataFrame, key: str = "seg_id") -> DataFrame:
-    """Rows of clips that have a text: sample_id, video_id, speaker, text, text_plain, line, tags, dur, split; ``lines`` as render() gives them."""
+def training_rows(clips: DataFrame, texts: DataFrame, lines: DataFrame, names: dict[str, str] | None = None, key: str = "seg_id") -> DataFrame:
+    """The rows of the dataset: one per clip that passes the gate.
+
+    ``clips`` has key, video_id, speaker, s and e in ms, wav, source, separated,
+    separated_frac, purity, purity_pass, align_status and clipped; ``texts`` has key,
+    text, asr and script; ``lines`` is what render() gives.  ``names`` rename speakers;
+    speaker_label keeps the label.  Clips without speaker or with a null or empty span,
+    and those that the gate keeps out, have no row.
+    """
     plain = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    rows = clips.where("speaker IS NOT NULL AND e > s").join(texts.select(key, "text", plain.alias("text_plain"), "asr", "script"), key, "left")
+    flags = clip_flags(F.col("text"), F.col("purity"), F.col("purity_pass"), F.col("clipped"), F.col("separated"), F.col("align_status"))
+    name = rename(F.col("speaker"), names or {})
     return (
-        clips.join(texts.select(key, plain.alias("text_plain")), key)
-        .where("text_plain <> ''")
+        rows.where(gate(flags).isNull())
         .join(lines, key)
         .select(
-            F.col(key).alias("sample_id"), "video_id", "speaker", F.col("tagged").alias("text"), "text_plain", F.concat("speaker", F.lit(": "), "tagged").alias("line"),
-            "tags", half_up((F.col("e") - F.col("s")) / 1000, 3).alias("dur"), split_of(F.col("video_id")).alias("split"),
+            F.col(key).alias("sample_id"), "video_id", name.alias("speaker"), F.col("speaker").alias("speaker_label"), F.col("tagged").alias("text"), "text_plain", F.concat(name, F.lit(": "), "tagged").alias("line"),
+            "tags", "wav", half_up((F.col("e") - F.col("s")) / 1000, 3).alias("dur"), (F.col("s") / 1000).alias("start"), (F.col("e") / 1000).alias("end"), split_of(F.col("video_id")).alias("split"),
+            F.coalesce("source", F.lit("original")).alias("source"), F.coalesce("separated_frac", F.lit(0.0)).alias("separated_frac"), "purity", "align_status",
+            F.coalesce("clipped", F.expr("cast(array() as array<string>)")).alias("clipped"), "asr", "script",
         )
     )

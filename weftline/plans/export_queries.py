@@ -82,9 +82,16 @@ def tag_render(spark, directory):
     return _lines(spark, directory)[1].drop("tags")
 
 
+#: Names given to speakers, as a job holds them.
+NAMES = {"SPEAKER_00": "Host", "SPEAKER_01": " ", "SPEAKER_02": "Guest"}
+
+
 def dataset_rows(spark, directory):
-    t, lines = _lines(spark, directory)
-    return X.training_rows(spans(spark, directory), t, lines)
+    """The dataset made anew; clipped edges and the status of alignment are those of the stored one.  The fields of script are columns of their own."""
+    _, lines = _lines(spark, directory)
+    known = samples(spark, directory).select(F.col("sample_id").alias("seg_id"), "clipped", "align_status")
+    rows = X.training_rows(clips(spark, directory).join(known, "seg_id", "left"), texts(spark, directory), lines, NAMES)
+    return rows.select(*(c for c in rows.columns if c != "script"), "script.*")
 
 
 def speaker_tag_matrix(spark, directory):
@@ -102,11 +109,12 @@ def corpus_totals(spark, directory):
 
 def tagged_neutral(spark, directory):
     n = F.coalesce(F.size("tags"), F.lit(0)) > 0
-    return samples(spark, directory).groupBy("video_id").agg(F.count_if(n).alias("tagged"), F.count_if(~n).alias("neutral"))
+    ms = F.sum(F.floor(F.col("dur") * 1000 + 0.5).cast("long"))
+    return samples(spark, directory).groupBy("video_id").agg(F.count_if(n).alias("tagged"), F.count_if(~n).alias("neutral"), half_up(ms / 60_000, 1).alias("minutes"))
 
 
 def speaker_rename(spark, directory):
-    return spans(spark, directory).select("seg_id", rows.rename(F.col("speaker"), {"SPEAKER_00": "Host", "SPEAKER_01": " ", "SPEAKER_02": "Guest"}).alias("name"))
+    return spans(spark, directory).select("seg_id", rows.rename(F.col("speaker"), NAMES).alias("name"))
 
 
 def hits_table(spark, directory):
@@ -256,16 +264,19 @@ ORACLE = {
     "pause_reclassify": query("SELECT * FROM tags", *_TAGS),
     "tag_render": query("SELECT * FROM lines", *_LINES),
     "dataset_rows": query(
-        rf"""SELECT c.seg_id AS sample_id, c.video_id, c.speaker, l.tagged AS text, t.plain AS text_plain, c.speaker || ': ' || l.tagged AS line, coalesce(g.tags, []::VARCHAR[]) AS tags,
-             {_half("(c.e - c.s) / 1000.0::DOUBLE", 3)} AS dur, CASE WHEN ('0x' || substr(sha256(c.video_id), 1, 8))::BIGINT / 4294967295.0::DOUBLE < 0.05 THEN 'val' ELSE 'train' END AS split
-           FROM spans c JOIN (SELECT seg_id, regexp_replace(text, '^[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+|[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+$', '', 'g') AS plain FROM texts) t ON t.seg_id = c.seg_id AND t.plain <> ''
-           JOIN lines l ON l.seg_id = c.seg_id LEFT JOIN (SELECT seg_id, list_sort(list_distinct(list(tag))) AS tags FROM tags GROUP BY seg_id) g ON g.seg_id = c.seg_id""",
-        *_LINES,
+        rf"""SELECT c.seg_id AS sample_id, c.video_id, n.name AS speaker, c.speaker AS speaker_label, l.tagged AS text, t.plain AS text_plain, n.name || ': ' || l.tagged AS line, coalesce(g.tags, []::VARCHAR[]) AS tags, c.wav,
+             {_half("(c.e - c.s) / 1000.0::DOUBLE", 3)} AS dur, c.s / 1000.0::DOUBLE AS start, c.e / 1000.0::DOUBLE AS "end", CASE WHEN ('0x' || substr(sha256(c.video_id), 1, 8))::BIGINT / 4294967295.0::DOUBLE < 0.05 THEN 'val' ELSE 'train' END AS split,
+             coalesce(c.source, 'original') AS source, coalesce(c.separated_frac, 0.0::DOUBLE) AS separated_frac, c.purity, d.align_status, coalesce(d.clipped, []::VARCHAR[]) AS clipped, t.asr, t.script.chars AS chars, t.script.deva_frac AS deva_frac, t.script.latin_frac AS latin_frac, t.script.script_switches AS script_switches
+           FROM clips c JOIN (SELECT seg_id, asr, script, regexp_replace(text, '^[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+|[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+$', '', 'g') AS plain FROM texts) t ON t.seg_id = c.seg_id
+           JOIN (SELECT seg_id, {_GATE} AS reason FROM flags) f ON f.seg_id = c.seg_id AND f.reason IS NULL
+           JOIN (SELECT seg_id, CASE speaker WHEN 'SPEAKER_00' THEN 'Host' WHEN 'SPEAKER_02' THEN 'Guest' ELSE speaker END AS name FROM spans) n ON n.seg_id = c.seg_id
+           JOIN lines l ON l.seg_id = c.seg_id LEFT JOIN samples d ON d.sample_id = c.seg_id LEFT JOIN (SELECT seg_id, list_sort(list_distinct(list(tag))) AS tags FROM tags GROUP BY seg_id) g ON g.seg_id = c.seg_id""",
+        *_LINES, _FLAGS,
     ),
     "speaker_tag_matrix": query(_matrix("video_id, ")),
     "corpus_matrix": query(_matrix("")),
     "corpus_totals": query("SELECT count(*) AS n_rows, sum(floor(dur * 1000 + 0.5)::BIGINT)::BIGINT AS total_ms, count(DISTINCT speaker) AS n_speakers FROM samples"),
-    "tagged_neutral": query("SELECT video_id, count(*) FILTER (coalesce(len(tags), 0) > 0) AS tagged, count(*) FILTER (coalesce(len(tags), 0) = 0) AS neutral FROM samples GROUP BY video_id"),
+    "tagged_neutral": query("SELECT video_id, count(*) FILTER (coalesce(len(tags), 0) > 0) AS tagged, count(*) FILTER (coalesce(len(tags), 0) = 0) AS neutral, floor(sum(floor(dur * 1000 + 0.5)::BIGINT)::BIGINT / 60000.0::DOUBLE * 10.0::DOUBLE + 0.5) / 10.0::DOUBLE AS minutes FROM samples GROUP BY video_id"),
     "speaker_rename": query("SELECT seg_id, CASE speaker WHEN 'SPEAKER_00' THEN 'Host' WHEN 'SPEAKER_02' THEN 'Guest' ELSE speaker END AS name FROM spans"),
     "hits_table": query("SELECT video_id, detector, cand_id, place FROM (SELECT *, row_number() OVER (PARTITION BY video_id, detector ORDER BY score DESC NULLS LAST, cand_id)::INTEGER AS place FROM cands WHERE detector IS NOT NULL) WHERE place <= 60"),
     "cache_antijoin": query("SELECT seg_id FROM spans WHERE seg_id NOT IN (SELECT sample_id FROM samples WHERE align_status IS DISTINCT FROM 'align_error')"),

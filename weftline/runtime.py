@@ -94,6 +94,17 @@ def blank(c: Column) -> Column:
     return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))
 
 
+def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """withColumns() whose values are computed once a row.
+
+    Else the optimizer may put their expressions where they are named, and within a
+    function on an array they would be computed for every element; a generator of one
+    row keeps them apart.
+    """
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: Column | int, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``lookup``, which has one row per ``key`` and the number of matching rows in ``count``.
 
