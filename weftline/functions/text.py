@@ -40,9 +40,28 @@ def filler_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_FILLER)), F.lit(0))
 
 
+# Devanagari letters and signs in Latin letters.
+CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलळवशषसह", "k kh g gh ng c ch j jh ny t th d dh n t th d dh n p ph b bh m y r l l v sh sh s h".split()))
+DOTTED = {"क": "q", "ख": "kh", "ग": "g", "ज": "z", "ड": "r", "ढ": "rh", "फ": "f", "य": "y"}
+VOWELS = dict(zip("अआइईउऊऋएऐओऔऑऍऎऒॲ", "a aa i ii u uu ri e ai o au o e e o a".split()))
+SIGNS = dict(zip("ािीुूृेैोौॉॅॆॊंँः", "aa i ii u uu ri e ai o au o e e o n n h".split()))
+
+def romanized(text: Column) -> Column:
+    """``text`` with Devanagari in Latin letters: consonants keep their vowel a unless a sign or a virama follows.  Other scripts stay."""
+    dot, vowel = "\u093c", "\u0905"
+    out = text
+    for k, letter in enumerate(DOTTED):
+        out = F.replace(out, F.lit(chr(0x958 + k)), F.lit(letter + dot))
+    out = F.regexp_replace(out, f"([{''.join(CONSONANTS)}]{dot}?)(?![{dot}\u093e-\u094d\u0962\u0963])", f"$1{vowel}")
+    for letter, latin in ({k + dot: v for k, v in DOTTED.items()} | CONSONANTS | VOWELS | SIGNS).items():
+        out = F.replace(out, F.lit(letter), F.lit(latin))
+    return F.regexp_replace(out, f"[{dot}\u094d]", "")
+
+
 def alignable(token: Column) -> Column:
     """The ASCII letters and apostrophes of a romanised token; empty means that it can't be aligned."""
-    return F.regexp_replace(F.lower(token), "[^a-z']", "")
+    plain = F.when(token.rlike(r"[\x{900}-\x{97F}]"), romanized(token)).otherwise(token)
+    return F.regexp_replace(F.lower(plain), "[^a-z']", "")
 
 
 def script_profile(text: Column) -> Column:
@@ -108,3 +127,15 @@ def lane_label(name: Column) -> Column:
         .when(name.startswith("SPEAKER_"), F.replace(name, F.lit("SPEAKER_"), F.lit("S")))
         .otherwise(name)
     )
+
+
+def lane_owner(name: Column) -> Column:
+    """The speaker that an audio lane belongs to, or null."""
+    numbered = F.upper(F.regexp_extract(name, r"(?i)^(?:sam_)?(speaker_\d+)", 1))
+    return F.when(numbered != "", numbered).when(name.startswith("SPEAKER_"), name)
+
+
+def clean_owner(name: Column) -> Column:
+    """The speaker whose clean lane this is, or null."""
+    found = F.upper(F.regexp_extract(name, r"^sam_(speaker_\d+)_clean", 1))
+    return F.when(found != "", found)

@@ -44,7 +44,7 @@ def beats(tables: dict[str, DataFrame]) -> DataFrame:
     quiet = words.silent_pauses(w, i, KEY, named=True)
     slow = words.hesitations(w, i, KEY, named=True)
     again = words.stammers(w, KEY).withColumn("score", F.lit(0.7))
-    burst = words.island_clusters(i, KEY).withColumn("score", F.lit(0.5))
+    burst = words.island_clusters(i, KEY, named=True).withColumn("score", F.lit(0.5))
     bounds = lambda x: F.array(_seconds(x["s"]), _seconds(x["e"]))
     island = F.when(F.col("kind") == "island", bounds({"s": F.col("s"), "e": F.col("e")}))
     parts = [

@@ -31,7 +31,8 @@ def to_do(rows: DataFrame, done: DataFrame, key: str, failed: str | None = None)
 
 
 def systematic_sample(rows: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
-    """``limit`` rows of each group evenly spaced in ``order``: those numbered floor(i * n / limit); all rows of smaller groups."""
+    """``limit`` rows (1 to 40) of each group evenly spaced in ``order``: those numbered floor(i * n / limit); all rows of smaller groups."""
+    limit = max(1, min(40, limit))
     w = Window.partitionBy(*group)
     k, n = F.col("__weft_k"), F.col("__weft_n")
     picked = (n <= limit) | (F.floor(F.ceil(k * limit / n) * n / limit) == k)
@@ -99,3 +100,21 @@ def raise_if_all_failed(rows: DataFrame, error: str = "error") -> tuple[int, int
     if n and n == bad:
         raise RuntimeError(f"all {n} rows failed")
     return n, bad
+
+
+def short_dropped(rows: DataFrame, group: list[str], length_ms: Column, least: int = 1000) -> DataFrame:
+    """(group..., kept, dropped, dropped_s): rows of ``least`` ms or more, and number and seconds of the others."""
+    short = length_ms < least
+    return rows.groupBy(*group).agg(F.count_if(~short).alias("kept"), F.count_if(short).alias("dropped"), (F.coalesce(F.sum(F.when(short, length_ms)), F.lit(0)) / 1000).alias("dropped_s"))
+
+
+def in_order(rows: DataFrame, group: list[str], order: list[Column | str], limit: int | None = None, name: str = "place") -> DataFrame:
+    """``rows`` with their place in each group, from 1; only the first ``limit``, if given, which are found before the shuffle."""
+    placed = rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return placed if limit is None else placed.where(F.col(name) <= limit)
+
+
+def with_engine(chunks: DataFrame, transcripts: DataFrame, keys: list[str], default: str = "lane", name: str = "asr") -> DataFrame:
+    """``chunks`` with the engine of their transcript, or ``default`` where there is none."""
+    named = transcripts.where("engine IS NOT NULL").groupBy(*keys).agg(F.max("engine").alias("__weft_e"))
+    return chunks.join(named, keys, "left").withColumn(name, F.coalesce("__weft_e", F.lit(default))).drop("__weft_e")

@@ -103,6 +103,15 @@ _HITS = "hits AS (SELECT * REPLACE (CASE WHEN json_valid(evidence) THEN evidence
 _TWO = "printf('%.2f', floor(({}) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE)"
 
 
+_PASTE = [
+    _them("them", 400), _SWEEP, _SUSPECT, merged("suspect", "raw_suspects", 200),
+    """tiled AS (SELECT video_id, speaker, s, e, unnest(range(s // 10000, (e - 1) // 10000 + 1)) AS "window" FROM suspect WHERE e > s)""",
+    """part AS (SELECT c.video_id, c.speaker, c."window", greatest(c.s, t.s) AS s, least(c.e, t.e) AS e FROM (
+         SELECT video_id, speaker, "window", greatest(s, "window" * 10000) AS s, least(e, ("window" + 1) * 10000) AS e FROM tiled) c JOIN turns t ON t.video_id = c.video_id AND t.speaker = c.speaker AND c.s < t.e AND t.s < c.e)""",
+    """padded AS (SELECT video_id, speaker, "window", greatest(s - 100, "window" * 10000) AS s, least(e + 100, ("window" + 1) * 10000) AS e FROM part WHERE e - s > 20)""",
+    merged("p", "padded", 50, 'video_id, speaker, "window"'),
+]
+
 
 def _Q(field: str) -> str:
     return f"coalesce({_J.format(field)}, '?')"
@@ -162,15 +171,7 @@ ORACLE = {
              row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY written_at DESC NULLS LAST, "start" DESC NULLS LAST, "end" DESC NULLS LAST, speaker DESC NULLS LAST) AS rn FROM lane_transcripts
              WHERE video_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE rn = 1 AND speaker IS NOT NULL AND e > s)""",
     ),
-    "paste_regions": query(
-        'SELECT video_id, speaker, "window", s, e FROM p',
-        _them("them", 400), _SWEEP, _SUSPECT, merged("suspect", "raw_suspects", 200),
-        """tiled AS (SELECT video_id, speaker, s, e, unnest(range(s // 10000, (e - 1) // 10000 + 1)) AS "window" FROM suspect WHERE e > s)""",
-        """part AS (SELECT c.video_id, c.speaker, c."window", greatest(c.s, t.s) AS s, least(c.e, t.e) AS e FROM (
-             SELECT video_id, speaker, "window", greatest(s, "window" * 10000) AS s, least(e, ("window" + 1) * 10000) AS e FROM tiled) c JOIN turns t ON t.video_id = c.video_id AND t.speaker = c.speaker AND c.s < t.e AND t.s < c.e)""",
-        """padded AS (SELECT video_id, speaker, "window", greatest(s - 100, "window" * 10000) AS s, least(e + 100, ("window" + 1) * 10000) AS e FROM part WHERE e - s > 20)""",
-        merged("p", "padded", 50, 'video_id, speaker, "window"'),
-    ),
+    "paste_regions": query('SELECT video_id, speaker, "window", s, e FROM p', *_PASTE),
     "prosody_features": query(
         f"""SELECT a.clip, f0_mean, f0_std_st, voiced_ratio, rms, {_half("nullif(n // 7, 0) / (n / 100.0::DOUBLE)", 2)} AS rate_wps FROM (
               SELECT clip, {_half("avg(CASE WHEN v THEN f0 END)", 2)} AS f0_mean, CASE WHEN count(*) FILTER (v) > 3 THEN {_half("stddev_pop(CASE WHEN v THEN 12 * log2(f0) END)", 3)} END AS f0_std_st,

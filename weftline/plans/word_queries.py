@@ -30,7 +30,7 @@ def beats_stammers(spark, directory):
 
 
 def island_cluster(spark, directory):
-    return W.island_clusters(islands(spark, directory), KEY, 9000).drop("cluster")
+    return W.island_clusters(islands(spark, directory), KEY, 9000)
 
 
 def island_status(spark, directory):
@@ -256,7 +256,7 @@ ORACLE = {
                FROM (SELECT seg_id, regexp_replace(coalesce(text, ''), '{WS}|\p{{P}}', '', 'g') AS b FROM texts))"""
     ),
     "token_norm": query(f"SELECT norm, count(*) AS n FROM (SELECT {_NORM.format('w')} AS norm FROM words) WHERE norm <> '' GROUP BY norm"),
-    "alignable_tokens": query("SELECT seg_id, count(*) FILTER (a <> '') AS n_alignable, count(*) FILTER (a = '') AS n_skipped FROM (SELECT seg_id, regexp_replace(lower(w), '[^a-z'']', '', 'g') AS a FROM words) GROUP BY seg_id"),
+    "alignable_tokens": query(r"SELECT seg_id, count(*) FILTER (a) AS n_alignable, count(*) FILTER (NOT a) AS n_skipped FROM (SELECT seg_id, regexp_matches(lower(w), '[a-z'']|[\x{901}-\x{903}\x{905}-\x{90B}\x{90D}-\x{914}\x{915}-\x{928}\x{92A}-\x{930}\x{932}\x{933}\x{935}-\x{939}\x{93E}-\x{943}\x{945}-\x{94C}\x{958}-\x{95F}\x{972}]') AS a FROM words) GROUP BY seg_id"),
     "filler_counts": query(f"SELECT asr, count(*) AS n, count(*) FILTER (coalesce(trim(text), '') = '') AS misses, sum(len(regexp_extract_all(coalesce(text, ''), '(?i){T.FILLER_PATTERN}')))::BIGINT AS fillers FROM texts GROUP BY asr"),
     "slug_ids": query(
         r"""SELECT video_id, speaker, regexp_replace(lower(speaker), '[^a-z0-9]+', '_', 'g') AS slug,
