@@ -62,33 +62,64 @@ def touching(left: DataFrame, right: DataFrame, keys: list[str], width: int = BI
     return overlap_join(left, right, keys, width).select(*left.columns).distinct()
 
 
+def meeting_others(left: DataFrame, turns: DataFrame, pad: int = 0, width: int = BIN_MS) -> DataFrame:
+    """Pairs of a left (video_id, speaker, s, e) interval and another speaker's turn of the recording (rs, re), padded, that overlap.
+
+    Joined by recording and bin, so turns are neither copied once per other speaker nor
+    gathered by recording.
+    """
+    them = turns.select("video_id", F.col("speaker").alias("__weft_other"), (F.col("s") - pad).alias("rs"), (F.col("e") + pad).alias("re"))
+    return overlap_join(left, them, ["video_id"], width).where(F.col("speaker") != F.col("__weft_other")).drop("__weft_other")
+
+
 def overlap_ms(left: DataFrame, right: DataFrame, keys: list[str], name: str = "overlap_ms", width: int = BIN_MS) -> DataFrame:
     """``left`` with the sum of its overlaps with right (rs, re) intervals of equal keys; 0 where there is none.
 
     Repeated left rows come once.
     """
-    part = F.least("e", "re") - F.greatest("s", "rs")
-    some = overlap_join(left.distinct(), right, keys, width).select(*left.columns, part.alias(name))
-    return left.distinct().withColumn(name, F.lit(0).cast("bigint")).unionByName(some).groupBy(*left.columns).agg(F.sum(name).alias(name))
+    own = left.distinct()
+    return _summed(own, overlap_join(own, right, keys, width), name)
+
+
+def others_ms(left: DataFrame, turns: DataFrame, pad: int = 0, name: str = "overlap_ms") -> DataFrame:
+    """overlap_ms() with the turns of all other speakers of the recording."""
+    own = left.distinct()
+    return _summed(own, meeting_others(own, turns, pad), name)
+
+
+def _summed(own: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    some = pairs.select(*own.columns, (F.least("e", "re") - F.greatest("s", "rs")).alias(name))
+    return own.withColumn(name, F.lit(0).cast("bigint")).unionByName(some).groupBy(*own.columns).agg(F.sum(name).alias(name))
 
 
-def subtract(keep: DataFrame, remove: DataFrame, keys: list[str], width: int = BIN_MS, disjoint: bool = False) -> DataFrame:
+def subtract(keep: DataFrame, remove: DataFrame, keys: list[str], width: int = BIN_MS) -> DataFrame:
     """What is left of each kept interval without the removed ones of equal keys; removals may overlap.
 
-    Pieces lie before the first, between and behind the merged removals that overlap an
-    interval; the removals of one interval, at most one per two ms of it, are gathered
-    beside it.  ``disjoint`` removals aren't merged again.  Pieces without length vanish,
-    as do kept intervals without length.
+    Pieces without length vanish, as do kept intervals without length.
     """
-    cut = (remove if disjoint else merge_close(remove.where("e > s"), keys)).select(*keys, F.col("s").alias("rs"), F.col("e").alias("re"))
     own = keep.select(*keys, "s", "e").where("e > s").distinct()
-    none = F.lit(None).cast("struct<rs: bigint, re: bigint>")
-    hit = overlap_join(own, cut, keys, width).select(*keys, "s", "e", F.struct("rs", "re").alias("r"))
-    lists = own.withColumn("r", none).unionByName(hit).groupBy(*keys, "s", "e").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    starts = F.concat(F.array("s"), F.transform("r", lambda x: x.re))
-    ends = F.concat(F.transform("r", lambda x: x.rs), F.array("e"))
-    pieces = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("s"), b.alias("e"))), lambda x: x.e > x.s)
-    return lists.select(*keys, F.explode(pieces).alias("p")).select(*keys, "p.s", "p.e")
+    cut = remove.where("e > s").select(*keys, F.col("s").alias("rs"), F.col("e").alias("re")).distinct()
+    return _left_over(own, overlap_join(own, cut, keys, width), keys)
+
+
+def subtract_others(keep: DataFrame, turns: DataFrame, pad: int = 0) -> DataFrame:
+    """What is left of each interval (video_id, speaker, s, e) without the padded turns of all other speakers of the recording."""
+    keys = ["video_id", "speaker"]
+    own = keep.select(*keys, "s", "e").where("e > s").distinct()
+    return _left_over(own, meeting_others(own, turns.distinct(), pad), keys)
+
+
+def _left_over(own: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The pieces of ``own`` intervals before, between and behind the removals (rs, re) that they are paired with.
+
+    A piece ends where a removal begins beyond the ends of all before it; the end of the
+    interval closes the last one.  A task sorts the removals of one interval at a time.
+    """
+    settle(own.sparkSession)
+    marks = pairs.select(*keys, "s", "e", "rs", "re").unionByName(own.withColumns({"rs": F.col("e"), "re": F.col("e")}))
+    before = F.max("re").over(Window.partitionBy(*keys, "s", "e").orderBy("rs", "re").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = marks.select(*keys, F.greatest("s", before).alias("_a"), F.least("rs", "e").alias("_b"))
+    return pieces.where("_b > _a").select(*keys, F.col("_a").alias("s"), F.col("_b").alias("e"))
 
 
 def others(turns: DataFrame, pad: int = 0) -> DataFrame:
@@ -127,8 +158,7 @@ def suspects(turns: DataFrame, acoustic: DataFrame, pad: int = 400, least: int =
     Overlaps of ``least`` ms with other speakers' padded turns, and acoustic overlaps
     (video_id, s, e) that touch the speaker's turns, merged across ``gap``.
     """
-    them = others(turns, pad).withColumnsRenamed({"s": "rs", "e": "re"})
-    one = overlap_join(turns, them, ["video_id", "speaker"]).select("video_id", "speaker", F.greatest("s", "rs").alias("s"), F.least("e", "re").alias("e")).where(F.col("e") - F.col("s") >= least)
+    one = meeting_others(turns, turns, pad).select("video_id", "speaker", F.greatest("s", "rs").alias("s"), F.least("e", "re").alias("e")).where(F.col("e") - F.col("s") >= least)
     heard = acoustic.select("video_id", F.col("s").alias("rs"), F.col("e").alias("re"))
     two = overlap_join(turns, heard, ["video_id"]).select("video_id", "speaker", F.col("rs").alias("s"), F.col("re").alias("e")).distinct()
     return merge_close(one.unionByName(two), ["video_id", "speaker"], gap)
@@ -145,10 +175,9 @@ def crosstalk_free(exclusive: DataFrame, turns: DataFrame, guard: int = 150, gap
     if not 0 <= guard <= 1000:
         raise ValueError("guard must be from 0 to 1000 ms")
     keys = ["video_id", "speaker"]
-    remove = others(turns, guard)
-    if rescued is not None:
-        remove = subtract(remove, rescued, keys)
-    return merge_close(subtract(exclusive, remove, keys), keys, gap)
+    if rescued is None:
+        return merge_close(subtract_others(exclusive, turns, guard), keys, gap)
+    return merge_close(subtract(exclusive, subtract(others(turns, guard), rescued, keys), keys), keys, gap)
 
 
 def runs(frames: DataFrame, keys: list[str], at: str, active: str, least: int = 3) -> DataFrame:
@@ -224,7 +253,7 @@ def clipped_to(regions: DataFrame, windows: DataFrame, keys: list[str], window:
 def speech_islands(speech: DataFrame, words: DataFrame, keys: list[str], pad: int = 120, gap: int = 50, least: int = 300) -> DataFrame:
     """(keys..., s, e): speech of ``least`` ms or more that no word covers; words are padded, not below 0, and merged across ``gap``."""
     cover = merge_bounded(dilate(words.select(*keys, "s", "e"), pad, 0), keys, gap)
-    return subtract(speech, cover, keys, disjoint=True).where(F.col("e") - F.col("s") >= least)
+    return subtract(speech, cover, keys).where(F.col("e") - F.col("s") >= least)
 
 
 def paste_regions(suspect: DataFrame, turns: DataFrame, keys: list[str], width: int = 10_000, least: int = 20, pad: int = 100, gap: int = 50) -> DataFrame:

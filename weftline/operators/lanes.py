@@ -90,5 +90,4 @@ def solo_centroids(embeddings: DataFrame, turns: DataFrame, dims: int, longest:
 
 def solo_snippets(turns: DataFrame, longest: int = 5_000) -> DataFrame:
     """(video_id, speaker, s, e): the solo turns that stand for a speaker, cut to ``longest`` ms."""
-    solo = intervals.subtract(turns, intervals.others(turns, 0), KEYS)
-    return signals.longest_first(solo, KEYS).select(*KEYS, "s", F.least("e", F.col("s") + longest).alias("e"))
+    return signals.longest_first(intervals.subtract_others(turns, turns), KEYS).select(*KEYS, "s", F.least("e", F.col("s") + longest).alias("e"))

@@ -21,13 +21,9 @@ def speaker_totals(spark, directory):
     return sums.join(real, KEYS)
 
 
-def _others(spark, directory, pad):
-    return intervals.others(turns(spark, directory), pad).withColumnsRenamed({"s": "rs", "e": "re"})
-
-
 def interval_overlap_join(spark, directory):
-    hit = intervals.overlap_join(turns(spark, directory), _others(spark, directory, 400), KEYS)
-    return hit.select(*KEYS, F.greatest("s", "rs").alias("s"), F.least("e", "re").alias("e")).where("e - s >= 50")
+    t = turns(spark, directory)
+    return intervals.meeting_others(t, t, 400).select(*KEYS, F.greatest("s", "rs").alias("s"), F.least("e", "re").alias("e")).where("e - s >= 50")
 
 
 def interval_semi(spark, directory):
@@ -36,12 +32,12 @@ def interval_semi(spark, directory):
 
 
 def interval_overlap_seconds(spark, directory):
-    return intervals.overlap_ms(spans(spark, directory), _others(spark, directory, 0), KEYS).select("seg_id", "overlap_ms")
+    return intervals.others_ms(spans(spark, directory), turns(spark, directory)).select("seg_id", "overlap_ms")
 
 
 def interval_subtract(spark, directory):
     t = turns(spark, directory)
-    return intervals.subtract(t, intervals.others(t, 150), KEYS)
+    return intervals.subtract_others(t, t, 150)
 
 
 def crosstalk_removal(spark, directory):
@@ -105,7 +101,8 @@ def audition_window(spark, directory):
 def solo_turns(spark, directory):
     from weftline.operators.signals import longest_first
 
-    return longest_first(intervals.subtract(turns(spark, directory), intervals.others(turns(spark, directory), 0), KEYS), KEYS)
+    t = turns(spark, directory)
+    return longest_first(intervals.subtract_others(t, t), KEYS)
 
 
 def systematic_sample(spark, directory):
