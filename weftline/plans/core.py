@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators import periods
-from weftline.plans import export_queries, interval_queries, job_queries, more_queries, stream_queries, word_queries
+from weftline.plans import cut_sql, export_queries, interval_queries, job_queries, more_queries, stream_queries, word_queries
 from weftline.runtime import table
 
 
@@ -43,4 +43,4 @@ ORACLE: dict[str, str] = {
   SELECT video_id, speaker, src, e AS gap_start_ms, lead(s) OVER (PARTITION BY video_id, speaker, src ORDER BY s) AS gap_end_ms FROM period)
 WHERE gap_end_ms IS NOT NULL""",
     "p5_periods": _P5 + "SELECT video_id, speaker, src, s AS start_ms, e AS end_ms FROM period",
-} | interval_queries.ORACLE | word_queries.ORACLE | export_queries.ORACLE | stream_queries.ORACLE | more_queries.ORACLE | job_queries.ORACLE
+} | interval_queries.ORACLE | word_queries.ORACLE | export_queries.ORACLE | stream_queries.ORACLE | more_queries.ORACLE | job_queries.ORACLE | {"word_cut_segments": cut_sql.WORD_CUT}
