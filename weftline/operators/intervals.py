@@ -193,17 +193,17 @@ def chunk_plan(turns: DataFrame, keys: list[str], longest: int = 60_000, block_g
     Blocks are turns merged across ``block_gap``; a chunk ends before a block that would
     make it longer than ``longest``, or behind a gap of ``break_gap`` once it is
     ``settled`` long.  Every decision depends on the one before, so an entity's blocks
-    are folded in one array; merged blocks are at least block_gap apart, so their number
+    are folded, and only finished chunks are kept on the way; merged blocks are at least block_gap apart, so their number
     is bounded by the length of the recording, not by the number of rows.
     """
     blocks = merge_close(turns, keys, block_gap).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("b"))
     fold = f"""
-      aggregate(b, cast(array() as array<struct<s:bigint,e:bigint>>), (acc, x) ->
-        CASE WHEN size(acc) = 0
-               OR x.e - acc[size(acc) - 1].s > {longest}
-               OR (x.s - acc[size(acc) - 1].e >= {break_gap} AND acc[size(acc) - 1].e - acc[size(acc) - 1].s >= {settled})
-             THEN concat(acc, array(named_struct('s', x.s, 'e', x.e)))
-             ELSE concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', acc[size(acc) - 1].s, 'e', x.e))) END)"""
+      aggregate(b, named_struct('s', cast(null as bigint), 'e', cast(null as bigint), 'done', cast(array() as array<struct<s:bigint,e:bigint>>)), (acc, x) ->
+        CASE WHEN acc.s IS NULL THEN named_struct('s', x.s, 'e', x.e, 'done', acc.done)
+             WHEN x.e - acc.s > {longest} OR (x.s - acc.e >= {break_gap} AND acc.e - acc.s >= {settled})
+             THEN named_struct('s', x.s, 'e', x.e, 'done', concat(acc.done, array(named_struct('s', acc.s, 'e', acc.e))))
+             ELSE named_struct('s', acc.s, 'e', x.e, 'done', acc.done) END,
+        acc -> concat(acc.done, array(named_struct('s', acc.s, 'e', acc.e))))"""
     return blocks.select(*keys, F.posexplode(F.expr(fold)).alias("k", "c")).select(*keys, "k", "c.s", "c.e")
 
 

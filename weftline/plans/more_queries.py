@@ -131,7 +131,7 @@ ORACLE = {
             UNION ALL SELECT seg_id, tag, score, NULL, 'states', {_TWO.format("score")}, ['arousal', 'pctl_a', 'pctl_v', 'valence', 'weak'] FROM ({_body(_E["states"])})
             UNION ALL SELECT seg_id, tag, {_half("top", 3)}, {_AT.format("at_f * (SELECT max(c.e - c.s) FROM spans c WHERE c.seg_id = p.seg_id) / n")}, CASE tag WHEN 'laughs' THEN 'laughs' ELSE 'reactions' END, {_TWO.format(_half("top", 3))}, ['class_scores'] FROM (
               SELECT seg_id, tag, max(x) AS top, arg_min(f, (-x, f)) AS at_f, max(f) + 1 AS n FROM (
-                {" UNION ALL ".join(f"SELECT seg_id, '{t}' AS tag, f, greatest({', '.join(chr(34) + c + chr(34) for c in names)}) AS x FROM frames" for t, names in (D.LAUGHS | D.REACTIONS).items())}) GROUP BY seg_id, tag) p
+                {" UNION ALL ".join(f"SELECT seg_id, '{t}' AS tag, f, greatest({', '.join(chr(34) + c + chr(34) for c in names)}) AS x FROM sound_frames" for t, names in (D.LAUGHS | D.REACTIONS).items())}) GROUP BY seg_id, tag) p
               WHERE top >= CASE tag WHEN 'laughs' THEN 0.05 ELSE 0.03 END::DOUBLE AND EXISTS (SELECT 1 FROM spans c WHERE c.seg_id = p.seg_id AND c.e - c.s >= 250)""",
         word_queries._PAUSES,
     ),

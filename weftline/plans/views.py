@@ -144,7 +144,7 @@ features AS (
   SELECT seg_id, video_id, speaker, 80 + ((e - s) * 7 % 97) / 97.0::DOUBLE * 200 AS f0_mean, CASE WHEN (e - s) % 11 > 0 THEN (((e - s) * 13 + s) % 89) / 89.0::DOUBLE * 5 END AS f0_std,
          ((s * 3 + e - s) % 101) / 101.0::DOUBLE AS voiced, (s % 103) / 103.0::DOUBLE AS rms, ((e - s + s * 5) % 83) / 83.0::DOUBLE AS arousal, (((e - s) * 3 + s) % 79) / 79.0::DOUBLE AS valence FROM spans),
 framed AS (SELECT seg_id, s, e - s AS n, unnest(range(least(39, (e - s) // 100) + 1)) AS f FROM spans),
-frames AS (SELECT seg_id, f, {", ".join(f'((n * {7 + 2 * j} + f * {13 + 3 * j} + s) % 101) / 101.0::DOUBLE * 0.4::DOUBLE AS "{c}"' for j, c in enumerate(SOUNDS))} FROM framed),
+sound_frames AS (SELECT seg_id, f, {", ".join(f'((n * {7 + 2 * j} + f * {13 + 3 * j} + s) % 101) / 101.0::DOUBLE * 0.4::DOUBLE AS "{c}"' for j, c in enumerate(SOUNDS))} FROM framed),
 signal AS (SELECT l_suppkey AS clip, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i, l_quantity - 25 AS x FROM lineitem)"""
 
 
