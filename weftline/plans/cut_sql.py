@@ -11,10 +11,11 @@ def _on(a: str, b: str) -> str:
     return f"{a}.video_id = {b}.video_id AND {a}.chunk_id = {b}.chunk_id"
 
 
-_VIEWS = [
-    rf"""lane AS MATERIALIZED (SELECT video_id, chunk_id, speaker, floor("start" * 1000 + 0.5)::BIGINT AS start, list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> '') AS l FROM (
+CHUNKS = rf"""lane AS MATERIALIZED (SELECT video_id, chunk_id, speaker, floor("start" * 1000 + 0.5)::BIGINT AS start, list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> '') AS l FROM (
          SELECT *, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY written_at DESC NULLS LAST, text DESC NULLS LAST, engine DESC NULLS LAST, "start" DESC NULLS LAST) AS rn
-         FROM lane_transcripts WHERE video_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE rn = 1 AND text IS NOT NULL AND "start" IS NOT NULL AND speaker IS NOT NULL)""",
+         FROM lane_transcripts WHERE video_id IS NOT NULL AND chunk_id IS NOT NULL) WHERE rn = 1 AND text IS NOT NULL AND "start" IS NOT NULL AND speaker IS NOT NULL)"""
+_VIEWS = [
+    CHUNKS,
     f"""spelt AS MATERIALIZED (SELECT *, e - d AS s, lead(e - d) OVER (PARTITION BY {_K} ORDER BY i) AS after FROM (
          SELECT *, (start + sum(g + d) OVER (PARTITION BY {_K} ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS e FROM (
            SELECT *, CASE WHEN (i * 131 + length(w) * 17) % 7 = 0 THEN (i * 97 + length(w) * 13) % 1900 ELSE 50 END AS g, 40 + 60 * length(w) AS d FROM (

@@ -10,7 +10,8 @@ from weftline.operators import lanes as L
 from weftline.operators import rows as R
 from weftline.operators import status as S
 from weftline.operators import words as W
-from weftline.plans.interval_queries import _SWEEP, KEYS, _them
+from weftline.plans.cut_sql import CHUNKS
+from weftline.plans.interval_queries import _SWEEP, KEYS, _minus, _them
 from weftline.plans.more_queries import _PASTE
 from weftline.plans.views import clips, islands, merged, query, samples, spans, turns, words
 from weftline.plans.word_queries import lane_words
@@ -178,6 +179,13 @@ _STATUS = [
 ]
 
 ORACLE = {
+    "solo_snippets": query(
+        """SELECT video_id, speaker, s, least(e, s + 5000) AS e FROM (SELECT *, row_number() OVER (PARTITION BY video_id, speaker ORDER BY s, e) AS r FROM d WHERE e - s >= 1000) WHERE r <= 8
+           UNION ALL SELECT video_id, speaker, s, least(e, s + 5000) FROM (SELECT *, row_number() OVER (PARTITION BY video_id, speaker ORDER BY e - s DESC, s) AS r FROM d
+             WHERE (video_id, speaker) NOT IN (SELECT (video_id, speaker) FROM d WHERE e - s >= 1000)) WHERE r <= 4""",
+        _them("them", 0), *_minus("d", "turns", "them"),
+    ),
+    "lane_word_counts": query("SELECT video_id, chunk_id, count(*) AS n, sum(40 + 60 * length(w))::BIGINT AS ms FROM (SELECT video_id, chunk_id, unnest(l) AS w FROM lane) GROUP BY ALL", CHUNKS),
     "chunk_aligned": query(
         f"""SELECT seg_id, speech, island, CASE WHEN i IS NULL THEN 'clean' WHEN n_skipped > 0 THEN 'digits_uncertain' WHEN longest <= 1500 THEN 'filler_suspect' ELSE 'major_gap' END AS status, {_R3.format("1 - island / nullif(speech, 0)::DOUBLE")} AS aligned_frac FROM (
               SELECT w.seg_id, w.speech, w.n_skipped, i.seg_id AS i, coalesce(i.island, 0)::BIGINT AS island, i.longest FROM (SELECT seg_id, max(e) AS speech, count(*) FILTER (NOT regexp_matches(w, '\\p{{L}}')) AS n_skipped FROM words GROUP BY seg_id) w

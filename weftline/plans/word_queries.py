@@ -86,7 +86,7 @@ def _word_lists(lanes):
     )
 
 
-def _neighbours(lanes, at):
+def _neighbours(lists, at):
     """(video_id, speaker, t, prev_end, next_start) of the first start and the last end of each chunk in ``at``, over all words of the speaker.
 
     Of chunks that lie wholly before or behind t only the bounds matter; words are looked
@@ -97,8 +97,8 @@ def _neighbours(lanes, at):
     outer = intervals.as_of(points, at.select(*who, F.col("first").alias("s"), F.col("last").alias("e")), who)
     spans = at.select(*who, "chunk_id", F.col("first").alias("rs"), F.col("last").alias("re"))
     inside = intervals.overlap_join(points.withColumns({"s": F.col("t") - 1, "e": F.col("t") + 1}), spans, who).where("own <> chunk_id")
-    asked = checkpoint(inside.groupBy(*chunk).agg(F.collect_set("t").alias("asked")))
-    words = _word_lists(lanes.join(asked.select(*chunk), chunk, "left_semi")).select(*who, "chunk_id", "words").join(asked, chunk)
+    asked = inside.groupBy(*chunk).agg(F.collect_set("t").alias("asked"))
+    words = lists.select(*who, "chunk_id", "words").join(asked, chunk)
     ends = F.array_max(F.transform(F.filter("words", lambda x: x.e < F.col("t")), lambda x: x.e))
     starts = F.array_min(F.transform(F.filter("words", lambda x: x.s > F.col("t")), lambda x: x.s))
     inner = words.select(*who, F.explode("asked").alias("t"), "words").select(*who, "t", ends.alias("prev_end"), starts.alias("next_start"))
@@ -114,9 +114,9 @@ def cut_chunks(lanes, turns, guard: int = 150):
     the nearest words of the speaker before and behind the chunk's, of all chunks.
     """
     chunk, who = ["video_id", "chunk_id"], ["video_id", "speaker"]
-    lists = _word_lists(lanes)
-    at = checkpoint(lists.where("first IS NOT NULL").select(*who, "chunk_id", "first", "last"))
-    near = _neighbours(lanes, at)
+    lists = checkpoint(_word_lists(lanes))
+    at = lists.where("first IS NOT NULL").select(*who, "chunk_id", "first", "last")
+    near = _neighbours(lists, at)
     before, behind = near.select(*who, F.col("t").alias("first"), "prev_end"), near.select(*who, F.col("t").alias("last"), "next_start")
     them = turns.select("video_id", F.col("speaker").alias("other"), (F.col("s") - guard).alias("rs"), (F.col("e") + guard).alias("re"))
     # one ms more at both ends, as a word that touches a region lies in it
