@@ -122,3 +122,14 @@ def test_calls_are_tried_again(spark, tmp_path):
     out = {r.k: (r.text, r.error) for r in M.call_in_batches(df, call, "k string, text string, error string", "k", 1, tries=4, pause=0.01, per_minute=60_000).collect()}
     assert out == {"good": ("ok", None), "late": ("ok", None), "bad": (None, "RuntimeError: no")}
     assert os.path.getsize(f"{folder}/bad") >= 4
+
+
+def test_numbered_in_stretches_is_the_number_in_all(spark):
+    rows = [(k, i * 7 % 100, i) for k in ("a", "b") for i in range(100 if k == "a" else 5)] + [(None, 1, 1), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "k string, t int, i int")
+    out = R.numbered(df, ["k"], "t", ["t", "i"], 10, "place", "n").collect()
+    for k in ("a", "b"):
+        mine = sorted((r for r in out if r.k == k), key=lambda r: (r.t, r.i))
+        assert [r.place for r in mine] == list(range(len(mine))) and {r.n for r in mine} == {len(mine)} == {100 if k == "a" else 5}
+    pick = lambda **kw: sorted((r.k, r.t, r.i) for r in R.systematic_sample(df.where("k IS NOT NULL AND t IS NOT NULL"), ["k"], ["t", "i"], 12, **kw).collect())
+    assert pick() == pick(width=10) and len(pick()) == 17

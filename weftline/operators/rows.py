@@ -30,12 +30,35 @@ def to_do(rows: DataFrame, done: DataFrame, key: str, failed: str | None = None)
     return rows.join(finished.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def systematic_sample(rows: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
-    """``limit`` rows (1 to 40) of each group evenly spaced in ``order``: those numbered floor(i * n / limit); all rows of smaller groups."""
+def numbered(rows: DataFrame, group: list[str], at: str, order: list[Column | str], width: int, place: str, total: str) -> DataFrame:
+    """``rows`` with their place in each group by ``order``, from 0, and the group's number of rows.
+
+    ``at`` is a number that ``order`` begins with.  Rows are numbered within stretches of
+    ``width`` of it, and the numbers of earlier stretches are added, so that no task
+    orders a whole group.  Rows with a null in ``group`` or ``at`` are dropped.
+    """
+    keys = [*group, "__weft_at"]
+    known = rows.withColumn("__weft_at", F.floor(F.col(at) / width))
+    known = known.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("__weft_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = known.groupBy(*keys).agg(F.count("*").alias("__weft_c")).select(*keys, F.coalesce(F.sum("__weft_c").over(earlier), F.lit(0)).alias("__weft_b"), F.sum("__weft_c").over(whole).alias(total))
+    here = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return known.withColumn(place, here.cast("long")).join(sums, keys).withColumn(place, F.col(place) + F.col("__weft_b")).drop("__weft_at", "__weft_b")
+
+
+def systematic_sample(rows: DataFrame, group: list[str], order: list[str], limit: int, width: int | None = None) -> DataFrame:
+    """``limit`` rows (1 to 40) of each group evenly spaced in ``order``: those numbered floor(i * n / limit); all rows of smaller groups.
+
+    With ``width`` the first of ``order`` is a number, in stretches of which rows are
+    numbered (see numbered); else a group is ordered in one task.
+    """
     limit = max(1, min(40, limit))
-    w = Window.partitionBy(*group)
     k, n = F.col("__weft_k"), F.col("__weft_n")
     picked = (n <= limit) | (F.floor(F.ceil(k * limit / n) * n / limit) == k)
+    if width is not None:
+        return numbered(rows, group, order[0], order, width, "__weft_k", "__weft_n").where(picked).drop("__weft_k", "__weft_n")
+    w = Window.partitionBy(*group)
     return rows.withColumn("__weft_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__weft_n", F.count("*").over(w)).where(picked).drop("__weft_k", "__weft_n")
 
 

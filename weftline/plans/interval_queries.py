@@ -106,7 +106,7 @@ def solo_turns(spark, directory):
 
 
 def systematic_sample(spark, directory):
-    return rows.systematic_sample(spans(spark, directory), ["video_id"], ["s", "e", "seg_id"], 12).select("video_id", "seg_id")
+    return rows.systematic_sample(spans(spark, directory), ["video_id"], ["s", "e", "seg_id"], 12, 3_600_000).select("video_id", "seg_id")
 
 
 QUERIES = {f.__name__: f for f in (interval_merge, speaker_totals, interval_overlap_join, interval_semi, interval_overlap_seconds, interval_subtract, crosstalk_removal, overlap_sweep, overlap_metric, window_tiling, suspect_regions, chunk_plan, asof_prev_next, no_cut_zones, point_in_interval, audition_window, solo_turns, systematic_sample)}

@@ -44,7 +44,7 @@ def longest_overlaps(spark, directory):
 
 def segments_by_start(spark, directory):
     rows = clips(spark, directory).where("s IS NOT NULL").select("video_id", "seg_id", "s")
-    return R.in_order(rows, ["video_id"], ["s", "seg_id"]).select("video_id", "seg_id", "place")
+    return R.numbered(rows, ["video_id"], "s", ["s", "seg_id"], 3_600_000, "place", "n").select("video_id", "seg_id", "place")
 
 
 def speakers_by_rows(spark, directory):
@@ -194,7 +194,7 @@ ORACLE = {
     "engine_default": "SELECT video_id, chunk_id, coalesce(max(engine), 'lane') AS asr FROM lane_transcripts WHERE video_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL",
     "dropped_short": query("SELECT video_id, count(*) FILTER (e - s >= 2500) AS kept, count(*) FILTER (e - s < 2500) AS dropped, coalesce(sum(e - s) FILTER (e - s < 2500), 0)::BIGINT / 1000.0::DOUBLE AS dropped_s FROM spans GROUP BY video_id"),
     "longest_overlaps": query("SELECT video_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY s, e) AS r FROM sweep) WHERE r <= 200", _SWEEP),
-    "segments_by_start": query("SELECT video_id, seg_id, row_number() OVER (PARTITION BY video_id ORDER BY s, seg_id)::INTEGER AS place FROM clips WHERE s IS NOT NULL"),
+    "segments_by_start": query("SELECT video_id, seg_id, row_number() OVER (PARTITION BY video_id ORDER BY s, seg_id) - 1 AS place FROM clips WHERE s IS NOT NULL AND video_id IS NOT NULL"),
     "speakers_by_rows": query("SELECT speaker, n, row_number() OVER (ORDER BY n DESC, speaker)::INTEGER AS place FROM (SELECT speaker, count(*) AS n FROM samples WHERE speaker IS NOT NULL GROUP BY speaker)"),
     "lane_owners": query(
         f"SELECT DISTINCT name, coalesce(nullif(upper(regexp_extract(name, '(?i)^(?:sam_)?(speaker_\\d+)', 1)), ''), CASE WHEN starts_with(name, 'SPEAKER_') THEN name END) AS owner, {_CLEAN} AS clean_of FROM lanes", _NAMES
