@@ -133,3 +133,36 @@ def test_numbered_in_stretches_is_the_number_in_all(spark):
         assert [r.place for r in mine] == list(range(len(mine))) and {r.n for r in mine} == {len(mine)} == {100 if k == "a" else 5}
     pick = lambda **kw: sorted((r.k, r.t, r.i) for r in R.systematic_sample(df.where("k IS NOT NULL AND t IS NOT NULL"), ["k"], ["t", "i"], 12, **kw).collect())
     assert pick() == pick(width=10) and len(pick()) == 17
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from weftline.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    for job, n in (("j1", 2), ("j2", 1)):
+        os.makedirs(f"{tmp_path}/jobs/{job}/manifests")
+        with open(f"{tmp_path}/jobs/{job}/manifests/dataset.jsonl", "w") as f:
+            f.writelines(json.dumps({"sample_id": f"{job}_{i}", "speaker": "Ann", "wav": "w.wav", "dur": 45.0, "tags": ["calm"]}) + "\n" for i in range(n))
+    assert main(["collect", f"{tmp_path}/jobs", f"{tmp_path}/out", "--no-copy"], spark) == {"rows": 3, "minutes": 2.3, "speakers": 1}
+    lines = [json.loads(x) for d, _, files in os.walk(f"{tmp_path}/out/dataset") for f in files if f.endswith(".json") for x in open(f"{d}/{f}")]
+    assert sorted(x["wav"] for x in lines) == ["j1/w.wav", "j1/w.wav", "j2/w.wav"] and os.path.isdir(f"{tmp_path}/out/matrix")
+    assert "p5_found" in main(["queries"])
+    with pytest.raises(SystemExit):
+        main(["query", "nothing", "."])
+
+
+def test_environment_and_payload(tmp_path, monkeypatch):
+    import numpy as np
+
+    from weftline.operators.waveforms import payload, unpacked
+    from weftline.runtime import load_env
+
+    (tmp_path / ".env").write_text("# note\nWEFT_A=1\nWEFT_B = 'two'\n\nnothing\n")
+    monkeypatch.setenv("WEFT_A", "kept")
+    monkeypatch.delenv("WEFT_B", raising=False)
+    assert load_env(str(tmp_path / ".env")) == {"WEFT_A": "1", "WEFT_B": "two"} and os.environ["WEFT_A"] == "kept" and os.environ["WEFT_B"] == "two"
+    assert load_env(str(tmp_path / "none")) == {}
+    monkeypatch.delenv("WEFT_B")
+    clips, words = unpacked(payload([np.array([0.5, -0.25]), np.array([1.0])], [["a"], []]))
+    assert [c.tolist() for c in clips] == [[0.5, -0.25], [1.0]] and words == [["a"], []]
+    assert unpacked(payload([])) == ([], [])

@@ -33,6 +33,20 @@ def local_session(app: str = "weftline", cores: str | None = None, shuffle_parti
     )
 
 
+def load_env(path: str) -> dict[str, str]:
+    """NAME=value lines of a file as environment variables, unless they are set already; comments and blank lines count for nothing, a missing file has none."""
+    found: dict[str, str] = {}
+    if os.path.isfile(path):
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                name, sign, value = line.strip().partition("=")
+                if sign and name.strip() and not name.startswith("#"):
+                    found[name.strip()] = value.strip().strip("'\"")
+    for name, value in found.items():
+        os.environ.setdefault(name, value)
+    return found
+
+
 def settle(spark: SparkSession) -> SparkSession:
     """Set what right results need: Spark 4.1 lets a union keep its children's partitioning although adaptive execution may coalesce each child in its own way, and a grouping above then misses rows."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
