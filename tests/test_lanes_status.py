@@ -166,3 +166,30 @@ def test_environment_and_payload(tmp_path, monkeypatch):
     clips, words = unpacked(payload([np.array([0.5, -0.25]), np.array([1.0])], [["a"], []]))
     assert [c.tolist() for c in clips] == [[0.5, -0.25], [1.0]] and words == [["a"], []]
     assert unpacked(payload([])) == ([], [])
+
+
+def test_embeddings_windows_and_lines(spark, tmp_path):
+    from weftline.operators.intervals import runs
+    from weftline.streaming.tables import lines_done, stream_lines
+
+    emb = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 0.0]), (3, "b", None), (4, "b", [float("nan"), 1.0])], "id int, who string, embedding array<double>")
+    assert [r.id for r in M.write_embeddings(emb, f"{tmp_path}/emb", "who").collect()] == [1]
+    frames = spark.createDataFrame([("c", i, i not in (3,)) for i in range(20)], "clip string, f long, on boolean")
+    assert sorted((r.first, r.stop) for r in runs(frames, ["clip"], "f", "on").collect()) == [(0, 3), (4, 20)]
+    assert sorted((r.first, r.stop) for r in runs(frames, ["clip"], "f", "on", window=10).collect()) == [(0, 3), (4, 10), (10, 20)]
+    os.makedirs(f"{tmp_path}/lines")
+    schema = "engine string, error string"
+    stream = lines_done(stream_lines(spark, f"{tmp_path}/lines", schema), ["engine"], 4)
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("lines_so_far").option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        for k, rows in enumerate(([{"engine": "e"}], [{"engine": "e", "error": "x"}, {"engine": "e"}])):
+            with open(f"{tmp_path}/lines/.{k}", "w") as f:
+                f.writelines(json.dumps(r) + "\n" for r in rows)
+            os.rename(f"{tmp_path}/lines/.{k}", f"{tmp_path}/lines/{k}.json")
+            query.processAllAvailable()
+        assert [tuple(r) for r in spark.table("lines_so_far").collect()] == [("e", 3, 1, 0.75)]
+    finally:
+        query.stop()
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, w int")
+    done = spark.createDataFrame([("a", 1, None), ("b", 1, "bad")], "k string, w int, error string")
+    assert sorted(map(tuple, R.to_do(rows, done, ["k", "w"], "error").collect())) == [("a", 2), ("b", 1)]

@@ -180,11 +180,15 @@ def crosstalk_free(exclusive: DataFrame, turns: DataFrame, guard: int = 150, gap
     return merge_close(subtract(exclusive, subtract(others(turns, guard), rescued, keys), keys), keys, gap)
 
 
-def runs(frames: DataFrame, keys: list[str], at: str, active: str, least: int = 3) -> DataFrame:
-    """(keys..., first, stop): runs of at least ``least`` active frames with successive numbers; stop is one beyond the last."""
-    on = frames.where(F.col(active))
-    group = F.col(at) - F.row_number().over(Window.partitionBy(*keys).orderBy(at))
-    return on.withColumn("_g", group).groupBy(*keys, "_g").agg(F.min(at).alias("first"), (F.max(at) + 1).alias("stop")).drop("_g").where(F.col("stop") - F.col("first") >= least)
+def runs(frames: DataFrame, keys: list[str], at: str, active: str, least: int = 3, window: int | None = None) -> DataFrame:
+    """(keys..., first, stop): runs of at least ``least`` active frames with successive numbers; stop is one beyond the last.
+
+    With ``window`` frames are looked at so many at a time, as a model does, and no run goes beyond its window.
+    """
+    part = F.lit(0) if window is None else F.floor(F.col(at) / window)
+    on = frames.where(F.col(active)).withColumn("_w", part)
+    group = F.col(at) - F.row_number().over(Window.partitionBy(*keys, "_w").orderBy(at))
+    return on.withColumn("_g", group).groupBy(*keys, "_w", "_g").agg(F.min(at).alias("first"), (F.max(at) + 1).alias("stop")).drop("_w", "_g").where(F.col("stop") - F.col("first") >= least)
 
 
 def chunk_plan(turns: DataFrame, keys: list[str], longest: int = 60_000, block_gap: int = 1_000, break_gap: int = 4_000, settled: int = 20_000) -> DataFrame:

@@ -24,10 +24,11 @@ def union_all(parts: dict[str, DataFrame], name: str = "detector_name") -> DataF
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-def to_do(rows: DataFrame, done: DataFrame, key: str, failed: str | None = None) -> DataFrame:
+def to_do(rows: DataFrame, done: DataFrame, key: str | list[str], failed: str | None = None) -> DataFrame:
     """Rows whose key isn't in ``done``; rows of ``done`` with a value in ``failed`` are tried again."""
-    finished = done.where(F.col(failed).isNull()) if failed else done
-    return rows.join(finished.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    finished = (done.where(F.col(failed).isNull()) if failed else done).select(*keys).dropna().distinct()
+    return rows.join(finished, keys, "left_anti")
 
 
 def numbered(rows: DataFrame, group: list[str], at: str, order: list[Column | str], width: int, place: str, total: str) -> DataFrame:

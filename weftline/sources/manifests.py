@@ -163,6 +163,14 @@ def bytes_freed(spark: SparkSession, job: str) -> int:
     return files.agg(F.sum("length")).first()[0] or 0
 
 
+def write_embeddings(rows: DataFrame, path: str, by: str, vector: str = "embedding") -> DataFrame:
+    """Store the usable vectors - no null, no zeros only, no infinite or missing number - by ``by``, and return what is stored."""
+    from weftline.functions.vectors import usable
+
+    rows.where(usable(F.col(vector))).write.mode("overwrite").partitionBy(by).parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def run_stage(spark: SparkSession, folder: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The stored result of a stage, built only if its marker is missing or ``force``d; a build that fails leaves no marker."""
     if force or not _exists(spark, posixpath.join(folder, "_SUCCESS")):
@@ -175,16 +183,20 @@ def replace_part(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def extend_cache(rows: DataFrame, path: str, key: str, compute: Callable[[DataFrame], DataFrame], failed: str = "error") -> DataFrame:
-    """Results of ``compute`` for all ``rows`` by ``key``: those stored at ``path``, and the missing and failed ones, computed and appended."""
+def extend_cache(rows: DataFrame, path: str, key: str | list[str], compute: Callable[[DataFrame], DataFrame], failed: str = "error") -> DataFrame:
+    """Results of ``compute`` for all ``rows`` by ``key``: those stored at ``path``, and the missing and failed ones, computed and appended.
+
+    ``key`` may be several columns, such as the bounds of a window that speakers share.
+    """
     from weftline.operators.rows import to_do
 
+    keys = [key] if isinstance(key, str) else key
     spark = rows.sparkSession
     done = spark.read.parquet(path) if _exists(spark, posixpath.join(path, "_SUCCESS")) else None
-    fresh = compute(rows if done is None else to_do(rows, done, key, failed))
+    fresh = compute(rows if done is None else to_do(rows, done, keys, failed))
     fresh.write.mode("append").parquet(path)
     stored = spark.read.parquet(path)
-    return stored.where(F.col(failed).isNull()).dropDuplicates([key])
+    return stored.where(F.col(failed).isNull()).dropDuplicates(keys)
 
 
 def call_in_batches(rows: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str, size: int = 8, tries: int = 1, per_minute: float | None = None, pause: float = 1.0) -> DataFrame:

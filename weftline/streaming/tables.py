@@ -25,6 +25,19 @@ def stream_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return stream.parquet(path) if folder else stream.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
 
 
+def stream_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """JSON lines as a stream of the files that are added to ``folder``, by a schema (DDL, or the name of a table)."""
+    from weftline.sources.manifests import SCHEMAS
+
+    return settle(spark).readStream.schema(SCHEMAS.get(schema, schema)).option("mode", "FAILFAST").json(folder)
+
+
+def lines_done(lines: DataFrame, keys: list[str], total: int, error: str = "error") -> DataFrame:
+    """(keys..., done, failed, progress): how many lines a worker has given so far, of ``total`` expected; works on streams and on tables."""
+    counts = lines.groupBy(*keys).agg(F.count("*").alias("done"), F.count(error).alias("failed"))
+    return counts.withColumn("progress", F.floor(F.col("done") / max(1, total) * 1000 + 0.5) / 1000)
+
+
 def event_windows(events: DataFrame, time: str, keys: list[str], value: str, width: str = "1 hour", late: str = "2 days") -> DataFrame:
     """(keys..., window_start, n, total): events counted in windows, open for ``late``."""
     stamped = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
