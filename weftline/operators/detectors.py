@@ -157,6 +157,7 @@ def chip_title(tag: Column, score: Column, detector: Column, evidence: Column) -
     """Lines that tell where a hit comes from: detector, score, and what the evidence says in words."""
     field = lambda f: F.get_json_object(evidence, f"$.{f}")
     said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("?")) for p in parts))
+    # The wording of each line.
     length = F.format_string("%.2f", half_up(field("island[1]").cast("double") - field("island[0]").cast("double"), 2))
     detail = (
         F.when((tag == "pauses") & field("gap_s").isNotNull(), said(field("gap_s"), 's of silence between "', field("after_word"), '" and "', field("before_word"), '"'))
